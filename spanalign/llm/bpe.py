@@ -13,6 +13,8 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from array import array
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,9 @@ from spanalign.llm.common import table, worker_cache
 
 SEGMENT = 1 << 19
 UNSPLIT = 4096
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
-# The pre-tokenizer's pattern of byte-level BPE vocabularies, used for Latin text only.
+# Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies, used for Latin text only.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _ODD_SPACE = re.compile(r" (?:\s|$)")
@@ -40,14 +42,22 @@ def byte_symbols() -> dict[int, str]:
 
 
 class _Memo(dict):
+    """Remembers what make() gave: the last REMEMBERED keys or more, as two generations."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
+        if len(key) > 64:
+            return self.make(key)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -59,36 +69,42 @@ class Codec:
     """Encodes and decodes whole texts as the vocabulary file says; ids are little-endian uint32 bytes."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PIECES)
-        symbols = byte_symbols()
-        self.to_symbols = {b: symbols[b] for b in range(256)}
-        back = {s: b for b, s in symbols.items()}
+        back = {s: b for b, s in byte_symbols().items()}
         self.bytes_of = {}
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             known = all(c in back for c in token)
             self.bytes_of[i] = bytes(back[c] for c in token) if known else token.encode()
-        self.pieces = _Memo(self._piece)
+        self.ranked = self._ranked(path)
         self.spaced = _Memo(lambda part: self._part(" " + part))
 
+    def _ranked(self, path: str):
+        """An encoder of short Latin parts by token ranks, if the merges' order is that of the ids."""
+        import json
+
+        import tiktoken
+
+        model = json.loads(Path(path).read_text())["model"]
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if made != sorted(made) or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        special = set(self.special)
+        ranks = {self.bytes_of[i]: i for t, i in model["vocab"].items() if t not in special}
+        return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.to_symbols)
-        return np.array([t.id for t in self.tok.model.tokenize(shown)], "<u4").tobytes()
-
     def _part(self, part: str) -> bytes:
         if len(part) > UNSPLIT:
             return self.concatenated(part)
-        if part.isascii() or max(part) < "ɐ":
-            return b"".join(map(self.pieces.__getitem__, self.split.findall(part)))
+        if part and self.ranked and (part.isascii() or max(part) < "ɐ"):
+            return array("I", self.ranked.encode_ordinary(part)).tobytes()
         return self._plain(part)
 
     def encode(self, text: str) -> bytes:
@@ -97,7 +113,7 @@ class Codec:
         if any(s in text for s in self.special):
             return self._plain(text)
         first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return self._part(first) + b"".join([self.spaced[p] if len(p) <= 64 else self._part(" " + p) for p in rest])
+        return self._part(first) + b"".join(map(self.spaced.__getitem__, rest))
 
     def cut_near(self, text: str, middle: int, reach: int) -> tuple[int, bool] | None:
         """The place nearest to ``middle`` where text may be cut, and whether a token may lie across it."""

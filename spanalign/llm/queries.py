@@ -8,6 +8,9 @@ import importlib
 MODULES = {
     "op1_packing": "packing",
     "op2_bpe": "bpe",
+    "op3_minhash": "minhash",
+    "op7_secrets": "secrets",
+    "op8_quality": "quality",
 }
 
 
