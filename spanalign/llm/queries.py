@@ -9,6 +9,7 @@ MODULES = {
     "op1_packing": "packing",
     "op2_bpe": "bpe",
     "op3_minhash": "minhash",
+    "op4_suffix": "suffix",
     "op7_secrets": "secrets",
     "op8_quality": "quality",
 }
