@@ -10,6 +10,8 @@ MODULES = {
     "op2_bpe": "bpe",
     "op3_minhash": "minhash",
     "op4_suffix": "suffix",
+    "op5_sharding": "sharding",
+    "op6_chat": "chat",
     "op7_secrets": "secrets",
     "op8_quality": "quality",
 }
