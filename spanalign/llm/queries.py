@@ -14,6 +14,8 @@ MODULES = {
     "op6_chat": "chat",
     "op7_secrets": "secrets",
     "op8_quality": "quality",
+    "op9_embeddings": "embeddings",
+    "op10_html": "html",
 }
 
 
