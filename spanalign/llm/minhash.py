@@ -216,7 +216,7 @@ def _clusters(classes: DataFrame, work: Workspace) -> DataFrame:
 def _confirmed(src: DataFrame, signed: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
     """(a, b): links on full sets that connect what is linked in each cluster."""
     wanted = members.select("cid", "cluster", "blocks", "block", F.col("row.id").alias("wanted_id"), F.col("row.th").alias("wanted_th"))
-    texts = src.withColumn("id", F.coalesce("id", F.lit(NO_KEY))).join(wanted, (F.col("id") == F.col("wanted_id")) & (F.col("th") == F.col("wanted_th")))
+    texts = src.withColumn("id", F.coalesce("id", F.lit(NO_KEY))).join(wanted.hint("merge"), (F.col("id") == F.col("wanted_id")) & (F.col("th") == F.col("wanted_th")))
     texts = texts.select("cid", "cluster", "blocks", "block", "text")
     if not signed.groupBy("id", "th").count().where("count > 1").isEmpty():
         texts = texts.groupBy("cid", "cluster", "blocks", "block").agg(F.first("text").alias("text"))  # repeated rows
