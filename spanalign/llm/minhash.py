@@ -256,7 +256,7 @@ def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = work.keep(_groups(docs, key, text))
     dropped = F.col("id").isNull() & F.col("component_id").isNotNull() | (F.col("id") != F.col("component_id"))
     gone = found.where(dropped).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    left = docs.join(gone, docs[key].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_th")), "left_anti")
+    left = docs.join(gone.hint("merge"), docs[key].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_th")), "left_anti")
     twice = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("twice_id"))
     if twice.isEmpty():
         return left

@@ -116,7 +116,7 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: s
     # what a text's spans are depends on the text alone, so repeated rows share them
     found = found.groupBy("k", "th").agg(F.first("spans").alias("spans"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("dk"), F.xxhash64(text).alias("dh"), F.col(text).alias("txt"))
-    out = whole.join(found, F.col("dk").eqNullSafe(F.col("k")) & (F.col("dh") == F.col("th")), "left")
+    out = whole.join(found.hint("merge"), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dh") == F.col("th")), "left")
     masked = F.expr(f"""aggregate(spans, struct(0 AS at, '' AS out),
       (a, x) -> IF(x.e <= a.at, a, struct(x.e AS at, IF(x.s < a.at, a.out, concat(a.out, substring(txt, a.at + 1, x.s - a.at), '{MASK}')) AS out)),
       a -> concat(a.out, substring(txt, a.at + 1)))""")

@@ -307,7 +307,7 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     null, and a document of which nothing stays has an empty text."""
     left = repeats(docs, key=key, text=text, with_text=True).where("n_removed > 0").select("id", "th", "kept").groupBy("id", "th").agg(F.first("kept").alias("kept"))
     whole = docs.withColumns({"own_id__": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "own_th__": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = whole.join(left, (F.col("own_id__") == F.col("id")) & (F.col("own_th__") == F.col("th")), "left")
+    joined = whole.join(left.hint("merge"), (F.col("own_id__") == F.col("id")) & (F.col("own_th__") == F.col("th")), "left")
     hit = F.col("kept").isNotNull()
     new = {text: F.when(hit, F.col("kept")).otherwise(docs[text])}
     if "n_chars" in docs.columns:
