@@ -48,7 +48,7 @@ class Workspace:
     def write(self, df: DataFrame) -> str:
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return path
 
     def read(self, *paths: str, schema=None) -> DataFrame:

@@ -219,6 +219,7 @@ def _step(text: DataFrame, make, first: bool, ranges: int, work: Workspace) -> D
     for bucket in range(BUCKETS):
         sent = text.mapInArrow(make(bucket, ranges), SENT).repartition("r").sortWithinPartitions("r")
         paths.append(work.write(sent.mapInArrow(resolver(first), "g bigint, hit binary")))
+        del sent  # its shuffle files go with it
         work.release()
     return work.read(*paths, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits"))
 
@@ -290,11 +291,13 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_te
     size = narrow.agg(F.sum("n")).first()[0] or 0
     ranges = max(32, -(-size // RANGE))
     text_path = work.write(left.select("id", "th", "text").mapInArrow(blocks, BLOCK_SQL))
+    del left
     work.release()
     whole_text = work.read(text_path, schema=BLOCK_SQL)
     tied = _step(whole_text, sampler, True, ranges, work)
     held_path = work.write(whole_text.join(tied, "g", "left"))
     work.drop(text_path)
+    del tied, whole_text
     work.release()
     held = work.read(held_path, schema=BLOCK_SQL + ", hits array<binary>")
     found = _step(held, sorter, False, ranges, work)
