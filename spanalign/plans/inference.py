@@ -56,7 +56,7 @@ def _pooled(d):
 @shared("i7_permutation_summary")
 def _(d):
     return f"""SELECT language, round(max(f1), 9) AS f1, round(avg(h0), 9) AS h0_mean, round(stddev_samp(h0), 9) AS h0_sd, round({d.pct('h0', 0.025)}, 9) AS h0_low, round({d.pct('h0', 0.975)}, 9) AS h0_high,
-      round((1.0 + sum(CASE WHEN h0 >= f1 THEN 1 ELSE 0 END)) / (count(*) + 1.0), 9) AS p, round(max(f1) - avg(h0), 9) AS margin, round(CASE WHEN avg(h0) > 0 THEN max(f1) / avg(h0) END, 9) AS ratio FROM ({_pooled(d)}) q GROUP BY language"""
+      round(CAST(1 + sum(CASE WHEN h0 >= f1 THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1), 9) AS p, round(max(f1) - avg(h0), 9) AS margin, round(CASE WHEN avg(h0) > 0 THEN max(f1) / avg(h0) END, 9) AS ratio FROM ({_pooled(d)}) q GROUP BY language"""
 
 
 @shared("i8_permutation_z")
@@ -66,7 +66,7 @@ def _(d):
 
 @shared("i9_two_tails")
 def _(d):
-    return f"SELECT language, round((1.0 + sum(CASE WHEN h0 >= f1 THEN 1 ELSE 0 END)) / (count(*) + 1.0), 9) AS p_above, round((1.0 + sum(CASE WHEN h0 <= f1 THEN 1 ELSE 0 END)) / (count(*) + 1.0), 9) AS p_below FROM ({_pooled(d)}) q GROUP BY language"
+    return f"SELECT language, round(CAST(1 + sum(CASE WHEN h0 >= f1 THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1), 9) AS p_above, round(CAST(1 + sum(CASE WHEN h0 <= f1 THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1), 9) AS p_below FROM ({_pooled(d)}) q GROUP BY language"
 
 
 def _weighted(d, table, cols, extra=""):
@@ -106,7 +106,7 @@ def _(d):
 @shared("i16_paired_randomisation")
 def _(d):
     h = d.key("'5'", "r.rep", "p.file_id")
-    return f"""SELECT max(observed) AS observed, count(*) AS n, round((1.0 + sum(CASE WHEN diff >= observed THEN 1 ELSE 0 END)) / (count(*) + 1.0), 9) AS p FROM
+    return f"""SELECT max(observed) AS observed, count(*) AS n, round(CAST(1 + sum(CASE WHEN diff >= observed THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1), 9) AS p FROM
       (SELECT r.rep, CAST(sum(CASE WHEN substr({h}, 1, 1) < '8' THEN p.fn - p.tp ELSE p.tp - p.fn END) AS BIGINT) AS diff FROM {d.t('per_file')} p CROSS JOIN (SELECT {d.series(0, 19)} AS rep) r GROUP BY r.rep) a
       CROSS JOIN (SELECT CAST(sum(tp - fn) AS BIGINT) AS observed FROM {d.t('per_file')}) o"""
 
