@@ -111,18 +111,27 @@ def _sent(g: int, h: np.ndarray, ids: np.ndarray, pos: np.ndarray, first: bool,
     known = np.sort(pos[order[tied]])
     names = ["r", "g", "known", "h", "id", "pos"]
     if len(known):
-        yield pa.RecordBatch.from_arrays([pa.array([g % ranges], pa.int64()), pa.array([g], pa.int64()), pa.array([True]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([known.astype(np.uint32).tobytes()], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([g % ranges], pa.int64()), pa.array([g], pa.int64()), pa.array([True]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([_steps(known)], pa.binary())], names=names)
     keep = np.sort(order[send])
     r = ((h[keep] >> _U(8)) % _U(ranges)).astype(np.int64)
     order = np.argsort(r, kind="stable")
     keep, r = keep[order], r[order]
     cuts = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]]) if len(r) else np.array([0])
-    rows = [(int(r[a]), h[keep[a:b]].tobytes(), ids[keep[a:b]].tobytes(), pos[keep[a:b]].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    rows = [(int(r[a]), h[keep[a:b]].tobytes(), _steps(ids[keep[a:b]], np.int64), _steps(pos[keep[a:b]])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     if rows:
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([g] * len(rows), pa.int64()), pa.array([False] * len(rows)), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
 
+def _steps(a: np.ndarray, kind=np.uint32) -> bytes:
+    """Ascending numbers, or runs of equal ones, as their differences, which compress well."""
+    return np.diff(a, prepend=np.int64(0)).astype(kind).tobytes()
+
+
+def _places(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
+
+
 def _blocks_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):
@@ -130,7 +139,7 @@ def _blocks_of(batches):
             yield (
                 row["g"].as_py(), row["data"].as_py(),
                 *(np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ids", "hashes", "ends")),
-                [np.frombuffer(x, np.uint32) for x in row["hits"].as_py() or ()] if "hits" in row else [],
+                [_places(x) for x in row["hits"].as_py() or ()] if "hits" in row else [],
             )
 
 
@@ -155,7 +164,7 @@ def _candidates(n: int, ends: np.ndarray, hits: list[np.ndarray]) -> np.ndarray:
     """Starts of the strings of WIDTH bytes, inside a document, that hold a tied place in their first PERIOD bytes."""
     step = np.zeros(n + 1, np.int32)
     for p in hits:
-        p = np.unique(p.astype(np.int64))
+        p = np.unique(p)
         np.add.at(step, np.maximum(p - PERIOD + 1, 0), 1)
         np.add.at(step, p + 1, -1)
     places = np.flatnonzero(np.cumsum(step)[:n] > 0)
@@ -192,7 +201,7 @@ def resolver(first: bool):
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 part = rows.slice(a, b - a)
                 hs = [np.frombuffer(x, _U) for x in part.column("h").to_pylist()]
-                h, ids = np.concatenate(hs), np.frombuffer(b"".join(part.column("id").to_pylist()), np.int64)
+                h, ids = np.concatenate(hs), np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in part.column("id").to_pylist()])
                 order = np.argsort(h)
                 by, hs_sorted = ids[order], h[order]
                 starts = np.flatnonzero(np.concatenate([[True], hs_sorted[1:] != hs_sorted[:-1]]))
@@ -203,25 +212,25 @@ def resolver(first: bool):
                 at = 0
                 gs, out = [], []
                 for g, x, p in zip(part.column("g").to_pylist(), hs, part.column("pos").to_pylist(), strict=True):
-                    some = np.frombuffer(p, np.uint32)[hit[at : at + len(x)]]
+                    some = _places(p)[hit[at : at + len(x)]]
                     at += len(x)
                     if len(some):
                         gs.append(g)
-                        out.append(some.tobytes())
+                        out.append(_steps(some))
                 yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(out, pa.binary())], names=["g", "hit"])
 
     return run
 
 
-def _step(text: DataFrame, make, first: bool, ranges: int, work: Workspace) -> DataFrame:
-    """(g, hits): all buckets' hits by block."""
+def _step(text: DataFrame, make, first: bool, ranges: int, work: Workspace) -> tuple[DataFrame, list[str]]:
+    """(g, hits), all buckets' hits by block, and the tables that it reads."""
     paths = []
     for bucket in range(BUCKETS):
         sent = text.mapInArrow(make(bucket, ranges), SENT).repartition("r").sortWithinPartitions("r")
         paths.append(work.write(sent.mapInArrow(resolver(first), "g bigint, hit binary")))
         del sent  # its shuffle files go with it
         work.release()
-    return work.read(*paths, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits"))
+    return work.read(*paths, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits")), paths
 
 
 def _whole(data: bytes, covered: np.ndarray) -> np.ndarray:
@@ -242,8 +251,8 @@ def finish(with_text: bool):
         for _, data, ids, hashes, ends, hits in _blocks_of(batches):
             step = np.zeros(len(data) + 1, np.int32)
             for p in hits:
-                np.add.at(step, p.astype(np.int64), 1)
-                np.add.at(step, p.astype(np.int64) + WIDTH, -1)
+                np.add.at(step, p, 1)
+                np.add.at(step, p + WIDTH, -1)
             covered = np.cumsum(step)[: len(data)] > 0
             out, at = [], 0
             for i, th, end in zip(ids.tolist(), hashes.tolist(), ends.tolist(), strict=True):
@@ -294,13 +303,13 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_te
     del left
     work.release()
     whole_text = work.read(text_path, schema=BLOCK_SQL)
-    tied = _step(whole_text, sampler, True, ranges, work)
+    tied, tied_paths = _step(whole_text, sampler, True, ranges, work)
     held_path = work.write(whole_text.join(tied, "g", "left"))
-    work.drop(text_path)
+    work.drop(text_path, *tied_paths)
     del tied, whole_text
     work.release()
     held = work.read(held_path, schema=BLOCK_SQL + ", hits array<binary>")
-    found = _step(held, sorter, False, ranges, work)
+    found, _ = _step(held, sorter, False, ranges, work)
     done = held.drop("hits").join(found, "g", "left").mapInArrow(finish(with_text), FINISHED)
     return done.unionAll(of_copies)
 
