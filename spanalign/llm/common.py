@@ -65,6 +65,10 @@ class Workspace:
             with contextlib.suppress(Exception):
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Drops all tables, once nothing reads them any more."""
+        self.drop(self.root)
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished queries now, not at the next large collection."""
         gc.collect()

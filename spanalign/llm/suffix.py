@@ -280,8 +280,10 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_te
     Null text counts as empty. Rows of equal keys never take anything from each other; a null key
     counts as larger than all others. Other columns are left out. No documents: no rows.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark)
+    return _repeats(docs, key, text, with_text, Workspace(docs.sparkSession))
+
+
+def _repeats(docs: DataFrame, key: str, text: str, with_text: bool, work: Workspace) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
     n = F.octet_length("text").cast("long")
@@ -317,7 +319,13 @@ def repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_te
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with what repeats() leaves of each text, n_chars (if there) to match; a null text stays
     null, and a document of which nothing stays has an empty text."""
-    left = repeats(docs, key=key, text=text, with_text=True).where("n_removed > 0").select("id", "th", "kept").groupBy("id", "th").agg(F.first("kept").alias("kept"))
+    steps, work = Workspace(docs.sparkSession), Workspace(docs.sparkSession)
+    cut = _repeats(docs, key, text, True, steps).where("n_removed > 0").select("id", "th", "kept")
+    cut_path = work.write(cut)
+    del cut
+    steps.clear()
+    work.release()
+    left = work.read(cut_path, schema="id bigint, th bigint, kept string").groupBy("id", "th").agg(F.first("kept").alias("kept"))
     whole = docs.withColumns({"own_id__": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "own_th__": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     joined = whole.join(left.hint("merge"), (F.col("own_id__") == F.col("id")) & (F.col("own_th__") == F.col("th")), "left")
     hit = F.col("kept").isNotNull()
