@@ -278,3 +278,13 @@ def links(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
 def op9_embeddings(spark, sf_dir: str) -> DataFrame:
     out = links(table(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+g AS (SELECT vec_id, label, x FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= {COSINE}),
+c AS (SELECT vec_id AS node, vec_id AS comp FROM v UNION SELECT l.b, c.comp FROM c JOIN l ON c.node = l.a),
+m AS (SELECT node, min(comp) AS comp FROM c GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, m.comp AS component_id, vec_id = m.comp AS kept FROM v JOIN m ON m.node = vec_id
+"""

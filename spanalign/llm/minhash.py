@@ -267,3 +267,16 @@ def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : least(i + 4, len(w))], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {SIMILARITY} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS node, doc_id AS comp FROM documents UNION SELECT e.b, c.comp FROM c JOIN e ON c.node = e.a),
+m AS (SELECT node, min(comp) AS comp FROM c GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.comp AS component_id, doc_id = m.comp AS kept FROM documents JOIN m ON m.node = doc_id LEFT JOIN n USING (doc_id)
+"""

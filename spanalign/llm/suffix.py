@@ -339,3 +339,15 @@ def op4_suffix(spark, sf_dir: str) -> DataFrame:
     out = repeats(table(spark, sf_dir, "documents"))
     doc = F.when(F.col("id") != NO_KEY, F.col("id")).alias("doc_id")
     return out.select(doc, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * WIDTH}) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(n - {WIDTH} + 1, 0))) AS p FROM h)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS least FROM w) WHERE doc_id > least),
+i AS (SELECT doc_id, p, sum(CASE WHEN p <= before + {WIDTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + {WIDTH} AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, a, b, substr(h, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS left_part FROM s JOIN h USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY a)),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(left_part, '' ORDER BY a) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(from_hex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)
+"""
