@@ -1,0 +1,6 @@
+"""All registered queries: importing the modules fills the registry."""
+
+from spanalign.plans import corpus, inference, scoring, segmentation, streams
+from spanalign.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corpus", "inference", "scoring", "segmentation", "streams"]
