@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanalign.llm.common import Workspace
 
+EDGE = "u bigint, v bigint"
+
 
 def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node reachable; nodes without edges are absent.
@@ -20,24 +22,26 @@ def components(edges: DataFrame, work: Workspace, a: str = "a", b: str = "b") ->
 
     now = directed(edges)
     path = work.write(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
-    while True:
-        now = work.read(path, schema="u bigint, v bigint")
+    while not _is_done(work.read(path, schema=EDGE)):
+        now = work.read(path, schema=EDGE)
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large star: the larger neighbours hang on the smallest
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large_path = work.write(large)
-        large = work.read(large_path, schema="u bigint, v bigint")
+        large = work.read(large_path, schema=EDGE)
         # small star: the smaller neighbours and the node itself hang on the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         new_path = work.write(small.where("u <> v").distinct())
-        state = work.read(new_path, schema="u bigint, v bigint").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         work.drop(path, large_path)
         path = new_path
-        if state == last:
-            break
-        last = state
-    return work.read(path, schema="u bigint, v bigint").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return work.read(path, schema=EDGE).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _is_done(now: DataFrame) -> bool:
+    """Whether every node hangs on one root: none has two edges down, and no edge's foot has one."""
+    ends = now.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("foot")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("foot").alias("foot"))
+    return seen.where("down > 1 OR down > 0 AND foot > 0").isEmpty()
