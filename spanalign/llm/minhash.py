@@ -255,13 +255,13 @@ def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     work = Workspace(docs.sparkSession)
     found = work.keep(_groups(docs, key, text))
     dropped = F.col("id").isNull() & F.col("component_id").isNotNull() | (F.col("id") != F.col("component_id"))
-    gone = found.where(dropped).select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    left = docs.join(gone.hint("merge"), docs[key].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_th")), "left_anti")
-    twice = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("twice_id"))
+    gone = found.where(dropped).select(F.col("id").alias("gone_id__"), F.col("th").alias("gone_th__")).distinct()
+    left = docs.join(gone.hint("merge"), docs[key].eqNullSafe(F.col("gone_id__")) & (F.xxhash64(docs[text]) == F.col("gone_th__")), "left_anti")
+    twice = found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("twice_id__"))
     if twice.isEmpty():
         return left
-    again = left.join(twice, left[key] == F.col("twice_id"), "left_semi").dropDuplicates([key])
-    return left.join(twice, left[key] == F.col("twice_id"), "left_anti").unionByName(again)
+    again = left.join(twice, left[key] == F.col("twice_id__"), "left_semi").dropDuplicates([key])
+    return left.join(twice, left[key] == F.col("twice_id__"), "left_anti").unionByName(again)
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -325,13 +325,14 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     del cut
     steps.clear()
     work.release()
-    left = work.read(cut_path, schema="id bigint, th bigint, kept string").groupBy("id", "th").agg(F.first("kept").alias("kept"))
+    left = work.read(cut_path, schema="id bigint, th bigint, kept string").groupBy("id", "th").agg(F.first("kept").alias("cut_kept__"))
+    left = left.withColumnsRenamed({"id": "cut_id__", "th": "cut_th__"})
     whole = docs.withColumns({"own_id__": F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)), "own_th__": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = whole.join(left.hint("merge"), (F.col("own_id__") == F.col("id")) & (F.col("own_th__") == F.col("th")), "left")
-    hit = F.col("kept").isNotNull()
-    new = {text: F.when(hit, F.col("kept")).otherwise(docs[text])}
+    joined = whole.join(left.hint("merge"), (F.col("own_id__") == F.col("cut_id__")) & (F.col("own_th__") == F.col("cut_th__")), "left")
+    hit = F.col("cut_kept__").isNotNull()
+    new = {text: F.when(hit, F.col("cut_kept__")).otherwise(docs[text])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+        new["n_chars"] = F.when(hit, F.length("cut_kept__").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
     return joined.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
