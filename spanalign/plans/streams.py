@@ -33,7 +33,7 @@ def latest_status_stream(spark, sf):
 @query("k_windowed_counts_stream", lambda d: "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts_stream(spark, sf):
     out = status.windowed(_events(spark, sf), "ts", "1 hour", "2 hours", "event_type")
-    return status.run_once(out, f"windows_{uuid.uuid4().hex}", _scratch(spark)).withColumn("total", F.round("total", 4))
+    return status.run_once(out, f"windows_{uuid.uuid4().hex}", _scratch(spark)).withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz")})
 
 
 @query("k_pending", lambda d: "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

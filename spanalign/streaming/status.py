@@ -19,7 +19,7 @@ def latest(events: DataFrame, key: str, order: list[str], columns: list[str]) ->
 
 def windowed(events: DataFrame, time: str, width: str, late: str, by: str) -> DataFrame:
     """Counts and sums by window; events later than the watermark are left out of closed windows."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, width), by)
+    grouped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), by)
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), by, "n", "total")
 
 
