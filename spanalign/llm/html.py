@@ -42,8 +42,13 @@ SCOPE = set("table td th caption html".split())
 #: Elements nested deeper become siblings; their text stays.
 DEPTH = 150
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# Attributes by the states of HTML: a quote opens a value directly after '=' only; elsewhere it is part of
+# a name or of an unquoted value. A quote that is never closed counts as unquoted, so that text stays.
+_VALUE = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*+"|'[^']*+'|[^ \t\n\r\f>]*+)"""
+_NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_ATTRS = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_VALUE.replace('("', '(?:"')})?+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^ \t\n\r\f/>]*+){_ATTRS}>?|<([a-zA-Z][^ \t\n\r\f/>]*+)({_ATTRS})>", re.S)
+_ATTR = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 BREAK, KEEP = "\x00", "\x01"  # a line break and a space that stay as they are
@@ -54,7 +59,8 @@ class Element:
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children = tag, []
-        self.attrs = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) if v else "" for k, v in _ATTR.findall(attrs)} if attrs else {}
+        # of repeated names the first counts
+        self.attrs = {k.lower(): v[1:-1] if len(v) > 1 and v[0] in "\"'" and v[0] == v[-1] else v for k, v in reversed(_ATTR.findall(attrs))} if attrs else {}
 
 
 def tree(page: str) -> Element:

@@ -269,6 +269,24 @@ def test_html(page, want):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<table><tr><td width="50"">Hello</td><td class="a">X</td></tr></table><p id="b">y', "Hello  X\n\ny"),
+        ("<p title=don't>it's here</p>", "it's here"),
+        ("<p a'b>one</p><p c'd>two</p>", "one\n\ntwo"),
+        ('<p "a" b>one</p>', "one"),
+        ('<p title="a>b" class = \'c>d\'>one', "one"),
+        ('<p title=">x', "x"),
+        ("<p/title='>'/>one</p title='>'>two", "one\n\ntwo"),
+        ("<a href=x/y?a='b hidden>no</a><p>yes", "yes"),
+        ('a<b style="display:none" style="">no</b>b', "ab"),
+    ],
+)
+def test_html_quotes(page, want):
+    assert html.extract(page) == want
+
+
 def test_html_survives_anything():
     rng = random.Random(8)
     bits = ["<", ">", "</", "<p>", "<table>", "<td>", "</tr>", "<li>", "'", '"', "x", "&", "<!--", "<script>", "<a b='", " "]
