@@ -39,8 +39,6 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 SCOPE = set("table td th caption html".split())
-#: Elements nested deeper become siblings; their text stays.
-DEPTH = 150
 
 # Attributes by the states of HTML: a quote opens a value directly after '=' only; elsewhere it is part of
 # a name or of an unquoted value. A quote that is never closed counts as unquoted, so that text stays.
@@ -67,15 +65,24 @@ def tree(page: str) -> Element:
     """The element tree; never fails, whatever the page."""
     root = Element("html")
     open_ = [root]
+    places: dict[str, list[int]] = {}  # where in open_ the elements of a tag are
     at = 0
 
+    def opened(e: Element) -> None:
+        places.setdefault(e.tag, []).append(len(open_))
+        open_.append(e)
+
+    def ended() -> None:
+        places[open_.pop().tag].pop()
+
+    def last(tags: set) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: set, shields: set) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                del open_[k:]
-                return
-            if open_[k].tag in shields:
-                return
+        k = last(tags)
+        if k and k >= last(shields):
+            while len(open_) > k:
+                ended()
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -98,18 +105,18 @@ def tree(page: str) -> Element:
             if tag in ENDS_P:
                 close({"p"}, SCOPE | {"li", "dd", "dt"} if tag != "p" else SCOPE)
             if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", open_[-1].tag):
-                open_.pop()
+                ended()
             if tag in ENDS:
-                ended, shields = ENDS[tag]
-                close(ended, shields)
+                ends, shields = ENDS[tag]
+                close(ends, shields)
                 if tag == "tr":
                     close({"tr"}, {"table"})
                 if tag in ("thead", "tbody", "tfoot"):
-                    close(ended, shields)
+                    close(ends, shields)
                 if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
                     row = Element("tr")
                     open_[-1].children.append(row)
-                    open_.append(row)
+                    opened(row)
             new = Element(tag, m[3])
             open_[-1].children.append(new)
             if tag in RAW:
@@ -118,8 +125,8 @@ def tree(page: str) -> Element:
                 at = end.end() if end else len(page)
                 if tag == "textarea":
                     new.children.append(entities.unescape(body))
-            elif tag not in VOID and len(open_) < DEPTH and not (m[3].endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong")):
-                open_.append(new)
+            elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "span", "em", "strong")):
+                opened(new)
     return root
 
 
@@ -166,14 +173,29 @@ def _trimmed(lines: list[str]) -> list[str]:
     return lines[lo:hi]
 
 
-def _block(e: Element, pre: bool = False) -> list[str]:
+def _run(step):
+    """What a generator returns that yields the generators it waits for: calls without Python's stack."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            inner = waiting[-1].send(value)
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+        else:
+            waiting.append(inner)
+            value = None
+    return value
+
+
+def _block(e: Element, pre: bool = False):
     out = _Lines()
-    _into(e, out, pre, [0])
+    yield _into(e, out, pre, [0])
     out.flush()
     return _trimmed(out.lines)
 
 
-def _into(e: Element, out: _Lines, pre: bool, number: list[int]) -> None:
+def _into(e: Element, out: _Lines, pre: bool, number: list[int]):
     for c in e.children:
         if isinstance(c, str):
             c = c.replace(BREAK, "").replace(KEEP, "")
@@ -189,13 +211,13 @@ def _into(e: Element, out: _Lines, pre: bool, number: list[int]) -> None:
             out.gap = True
         elif c.tag == "table":
             out.flush()
-            out.put(_table(c), True)
+            out.put((yield _table(c)), True)
         elif c.tag in ("ul", "ol", "menu", "dir"):
             out.flush()
             start = c.attrs.get("start", "1")
             count = [int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0] if c.tag == "ol" else [None]
             inner = _Lines()
-            _into(c, inner, pre, count)
+            yield _into(c, inner, pre, count)
             inner.flush()
             out.put(_trimmed(inner.lines), e.tag != "li")
         elif c.tag == "li":
@@ -204,45 +226,50 @@ def _into(e: Element, out: _Lines, pre: bool, number: list[int]) -> None:
             if number[0] is not None and e.tag == "ol":
                 number[0] += 1
                 mark = f"{number[0]}. "
-            lines = _block(c, pre)
+            lines = yield _block(c, pre)
             out.put([(mark if k == 0 else " " * len(mark)) + x if x or k == 0 else "" for k, x in enumerate(lines)], False)
         elif c.tag in ("dd", "blockquote"):
             out.flush()
-            out.put(["    " + x if x else "" for x in _block(c, pre)], c.tag in MARGIN)
+            out.put(["    " + x if x else "" for x in (yield _block(c, pre))], c.tag in MARGIN)
         elif c.tag in BLOCKS:
             # margins of a block and of its first and last child meet in the same gap
             out.flush()
             out.gap |= c.tag in MARGIN
-            _into(c, out, pre or c.tag in ("pre", "textarea"), number)
+            yield _into(c, out, pre or c.tag in ("pre", "textarea"), number)
             out.flush()
             out.gap |= c.tag in MARGIN
         else:
-            _into(c, out, pre, number)
+            yield _into(c, out, pre, number)
 
 
 def _rows(e: Element, outside: list):
-    for c in e.children:
-        if isinstance(c, str):
-            if c.strip():
+    inside = [iter(e.children)]
+    while inside:
+        for c in inside[-1]:
+            if isinstance(c, str):
+                if c.strip():
+                    outside.append(c)
+            elif not visible(c):
+                continue
+            elif c.tag == "tr":
+                yield [x for x in c.children if isinstance(x, str) and x.strip() or isinstance(x, Element) and visible(x)]
+            elif c.tag in ("thead", "tbody", "tfoot"):
+                inside.append(iter(c.children))
+                break
+            elif c.tag not in ("col", "colgroup"):
                 outside.append(c)
-        elif not visible(c):
-            continue
-        elif c.tag == "tr":
-            yield [x for x in c.children if isinstance(x, str) and x.strip() or isinstance(x, Element) and visible(x)]
-        elif c.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(c, outside)
-        elif c.tag not in ("col", "colgroup"):
-            outside.append(c)
+        else:
+            inside.pop()
 
 
-def _table(e: Element) -> list[str]:
+def _table(e: Element):
     outside: list = []
     rows = list(_rows(e, outside))
     out: list[str] = []
     if outside:
         holder = Element("div")
         holder.children = outside
-        out = _block(holder)
+        out = yield _block(holder)
     grid, widths = [], {}
     for row in rows:
         cells, col = [], 0
@@ -253,7 +280,7 @@ def _table(e: Element) -> list[str]:
                 cell = holder
             span = cell.attrs.get("colspan", "1")
             span = min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
-            lines = _block(cell)
+            lines = yield _block(cell)
             cells.append((col, span, lines))
             if span == 1:
                 widths[col] = max([widths.get(col, 0), *map(len, lines)])
@@ -271,7 +298,7 @@ def _table(e: Element) -> list[str]:
 
 def extract(page: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty text."""
-    return "\n".join(_block(tree(page))) if page else ""
+    return "\n".join(_run(_block(tree(page)))) if page else ""
 
 
 def texts(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:

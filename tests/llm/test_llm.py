@@ -295,6 +295,14 @@ def test_html_survives_anything():
     assert html.extract("<div>" * 5000 + "x") == "x"
 
 
+@pytest.mark.parametrize("deep", ["<div>" * 200, "<font>" * 200, "<b><p>" * 3000, "<tbody><caption><caption>" * 1500])
+def test_html_depth(deep):
+    assert html.extract(deep + "<span hidden>no</span><ul><li>one<li>two</ul><svg>no</svg>x") == "* one\n* two\n\nx"
+    assert html.extract(deep + "<table><tr><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert html.extract("<div hidden>" + deep + "<div>no</div>no") == ""
+    assert html.extract("<ul><li>" + "<ul><li>" * 200 + "x").count("* ") == 201
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
