@@ -102,9 +102,16 @@ def _sent(g: int, h: np.ndarray, ids: np.ndarray, pos: np.ndarray, first: bool,
     n = np.diff(np.concatenate([starts, [len(hs)]]))
     least = np.minimum.reduceat(by, starts)
     if first:
-        tied = np.repeat(least != np.maximum.reduceat(by, starts), n)
+        greatest = np.maximum.reduceat(by, starts)
+        groups = np.flatnonzero(least != greatest)
+        tied = np.repeat(least != greatest, n)
         send = ~tied
-        send[starts] = True
+        # one row of the least and one of the greatest key: of one key alone, others of that key would see no tie
+        at, of = np.flatnonzero(tied), np.repeat(groups, n[groups])
+        for edge in (least, greatest):
+            some = by[at] == edge[of]
+            rows, group = at[some], of[some]
+            send[rows[np.diff(group, prepend=-1) != 0]] = True
     else:
         tied = by > np.repeat(least, n)
         send = ~tied

@@ -177,6 +177,25 @@ def test_suffix_is_exact(spark):
     assert suffix.repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_equal_keys_in_several_blocks(spark, monkeypatch):
+    """A passage that a smaller document has goes, also where another block's row of the same key has it."""
+    monkeypatch.setattr(suffix, "BLOCK", 400)
+    rng = random.Random(5)
+    rows, want = [], []
+    filler = lambda n: "".join(rng.choice("xyz") for _ in range(n))
+    for k in range(20):
+        passage = "".join(rng.choice("abcdefgh") for _ in range(suffix.WIDTH))
+        twin = None if k % 2 else 1000 + k
+        # the passage starts at the places 1, 5 and 11 modulo PERIOD, so its own start alone is on the cover in all three;
+        # two texts fill a block, the third stands in another one
+        first, second = rng.sample([twin, k], 2)
+        rows += [(first, filler(124) + "0" + passage + "0" + filler(10)), (second, filler(128) + "1" + passage + "1"), (twin, filler(10) + "2" + passage + "2" + filler(240))]
+        want += [(k, 0), (twin, 50), (twin, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(None if r["id"] == suffix.NO_KEY else r["id"], r["n_removed"]) for r in suffix.repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sharding_law(spark):
     docs = odd_documents(spark).unionByName(spark.range(4000).selectExpr("id + 100 AS doc_id", "repeat('x', CAST(pmod(xxhash64(id), 500) AS INT)) AS text", "concat('s', id % 5) AS source"), allowMissingColumns=True)
     rows = sharding.assign(docs.where("doc_id IS NULL OR doc_id <> 8"), shards=16).collect()
