@@ -2,7 +2,8 @@
 
 Every whole text is scanned for the base kinds and for generic key-like tokens. The values' hashes
 are then counted over the corpus by distinct owners and distinct repositories: a value that many
-owners have is a copied example; one that stays with its owner looks live. Base spans are all kept;
+owners have, or many repositories of one owner, is a copied example; one that stays with its owner and
+in few repositories looks live. Base spans are all kept;
 live-looking generic tokens outside of them are added.
 """
 
@@ -15,6 +16,8 @@ from spanalign.llm.common import Workspace, table
 
 #: A value with more distinct owners than this is a widely copied example.
 MAX_OWNERS = 1
+#: And one with more distinct repositories than this, whoever owns them.
+MAX_REPOS = 10
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # kind -> pattern, group of the value, least length of the value
@@ -69,15 +72,17 @@ def find(rows: DataFrame, text: str) -> DataFrame:
 
 
 def owners(candidates: DataFrame) -> DataFrame:
-    """h, n_owners, n_repos from rows (h, owner, repo), each step summed before it is dealt by key."""
+    """h, n_owners, n_repos from rows (h, owner, repo), each step summed before it is dealt by key.
+    A repository belongs to its owner: under two owners it counts as two."""
     single = candidates.groupBy("h", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = single.groupBy("h", "owner").agg(F.count("*").alias("repos"))
     return by_owner.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, carry=()) -> DataFrame:
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, carry=()) -> DataFrame:
     """For each row of docs: key, ``carry`` columns, base and spans (arrays of SPAN by start, then
-    kind), n_live and n_copied (base values that stay with at most ``max_owners`` owners, or not).
+    kind), n_live and n_copied (base values that stay with at most ``max_owners`` owners and
+    in at most ``max_repos`` repositories, or not).
 
     Null text has no spans; a null owner or repository counts as one of its own; repeated rows are
     scanned each and count as one repository. No documents: no rows.
@@ -87,7 +92,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str
     found = work.keep(find(rows, "scanned").drop("scanned").withColumn("row", F.monotonically_increasing_id()))
     each = found.where(F.size("base") + F.size("other") > 0)
     values = each.select("row", "owner", "repo", F.explode(F.concat("base", "other")).alias("x")).select("row", "owner", "repo", "x", F.col("x.h").alias("h"))
-    held = owners(values.select("h", "owner", "repo")).select("h", (F.col("n_owners") <= max_owners).alias("live"))
+    held = owners(values.select("h", "owner", "repo")).select("h", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
     judged = values.select("row", "x", "h").join(held, "h")
     of_row = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("live") & (F.col("x.k") == 3), F.col("x"))).alias("added"),
@@ -107,12 +112,12 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str
 MASK = "[SECRET]"
 
 
-def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """docs with the characters of every span replaced by MASK, one for each run of overlapping
     spans, and n_chars (if there) to match. Rows without spans and null texts stay as they are.
     """
     narrow = docs.select(F.col(key).alias("k"), F.col(text).alias("txt"), F.col(owner).alias("o"), F.col(repo).alias("r"), F.xxhash64(text).alias("th"))
-    found = scan(narrow, key="k", text="txt", owner="o", repo="r", max_owners=max_owners, carry=("th",)).where(F.size("spans") > 0)
+    found = scan(narrow, key="k", text="txt", owner="o", repo="r", max_owners=max_owners, max_repos=max_repos, carry=("th",)).where(F.size("spans") > 0)
     # what a text's spans are depends on the text alone, so repeated rows share them
     found = found.groupBy("k", "th").agg(F.first("spans").alias("spans"))
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("dk"), F.xxhash64(text).alias("dh"), F.col(text).alias("txt"))

@@ -235,6 +235,18 @@ def test_secrets_mask_and_keep(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in secrets.scan(many).collect()} == {**dict.fromkeys(range(6), 0), 9: 1}
 
 
+def test_secrets_copied_by_one_owner(spark):
+    """An example in many documents of one source is no live secret; one in few documents, or in repeated rows, is."""
+    n = secrets.MAX_REPOS
+    tokens = {"wide": "Abcdefghij0123456789xyz", "few": "Bbcdefghij0123456789xyz", "again": "Cbcdefghij0123456789xyz"}
+    rows = [(k, tokens["wide"] + " 00112233445566aa") for k in range(n + 1)] + [(100 + k, tokens["few"] + " ffeeddccbbaa9988") for k in range(n)] + [(200, tokens["again"])] * (n + 5)
+    docs = spark.createDataFrame([(k, t, "one") for k, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = {(r["doc_id"], len(r["spans"]), r["n_live"], r["n_copied"]) for r in secrets.scan(docs).collect()}
+    assert got == {(k, 1, 0, 1) for k in range(n + 1)} | {(100 + k, 2, 1, 0) for k in range(n)} | {(200, 1, 0, 0)}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert masked[0] == tokens["wide"] + " [SECRET]" and masked[100] == "[SECRET] [SECRET]" and masked[200] == "[SECRET]"
+
+
 def test_quality_hosts(spark):
     good = " ".join(f"word{k}" for k in range(60))
     noisy = good + " #" * 40
