@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,59 @@ def permuted_ends(tiles: DataFrame, reps: int, seed: int, file: str = "file_id")
     return repeated(tiles, reps).withColumn("key", key).withColumn("off", end).select(file, "rep", "pos", "off", "reason", "n_bytes")
 
 
+#: Keys that a worker holds at once.
+KEYS = 1 << 18
+
+
+def _permuted(seed: str, row: dict, reps: int, prefix: bool):
+    """(first replicate, order, ends) of a file's patches, some replicates at a time: by the keys of
+    permuted_ends, with the last patch fixed, or the first one (prefix)."""
+    pos, length = row["pos"], np.array(row["len"], np.int64)
+    lo, hi = (1, len(pos)) if prefix else (0, len(pos) - 1)
+    head = f"{seed}\0{row['file_id']}\0".encode()
+    names = [b"\0%d" % p for p in pos[lo:hi]]
+    some = max(1, KEYS // len(pos))
+    for at in range(0, reps, some):
+        n = min(some, reps - at)
+        order = np.tile(np.arange(len(pos)), (n, 1))
+        if hi - lo > 1:
+            keys = b"".join(hashlib.sha256(head + b"%d" % r + p).digest() for r in range(at, at + n) for p in names)
+            order[:, lo:hi] = lo + np.argsort(np.frombuffer(keys, "S32").reshape(n, hi - lo), axis=1, kind="stable")
+        yield at, order, np.cumsum(length[order], axis=1)
+
+
+def replicate_sums(files: DataFrame, reps: int, seed: int, what: str) -> DataFrame:
+    """Sums over replicates that never leave their task one by one, so many replicates shuffle nothing.
+
+    files: file_id, language, n_bytes and by place the arrays pos, len, entropy, and starts. what:
+    "hits", ends on starts as (language, rep, tp), one row for each task; "file", their mean as
+    (file_id, tp); "prefix", sums of ends as (language, rep, total), the first patch fixed.
+    """
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            ids, means = [], []
+            for row in batch.to_pylist():
+                total = np.zeros(reps, np.int64)
+                entropy, starts = np.array(row["entropy"], bool), np.array(row["starts"], np.int64)
+                for at, order, ends in _permuted(str(seed), row, reps, what == "prefix"):
+                    value = ends if what == "prefix" else entropy[order] & (ends < row["n_bytes"]) & np.isin(ends, starts)
+                    total[at : at + len(order)] = value.sum(axis=1)
+                if what == "file":
+                    ids.append(row["file_id"])
+                    means.append(total.mean())
+                else:
+                    sums[row["language"]] = sums.get(row["language"], 0) + total
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(means, pa.float64())], names=["file_id", "tp"])
+        for language, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([language] * reps, pa.string()), pa.array(range(reps), pa.int32()), pa.array(total)], names=["language", "rep", name])
+
+    name = "total" if what == "prefix" else "tp"
+    return files.mapInArrow(run, "file_id bigint, tp double" if what == "file" else f"language string, rep int, {name} bigint")
+
+
 def drawn(units: DataFrame, reps: int, seed: int, unit: str) -> DataFrame:
     """rep, unit, weight: as many draws with replacement from ``units`` as there are, per replicate.
 

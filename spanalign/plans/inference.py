@@ -97,17 +97,17 @@ def _(d):
 
 
 @shared("i15_median_difference")
-def _(d):
-    wide = f"SELECT b.rep, f.language, f.n_bytes FROM {d.t('boot')} b JOIN {d.t('files')} f ON b.file_id = f.file_id WHERE b.rep < 10"
+def _(d, reps=10):
+    wide = f"SELECT b.rep, f.language, f.n_bytes FROM {d.t('boot')} b JOIN {d.t('files')} f ON b.file_id = f.file_id WHERE b.rep < {reps}"
     return f"""SELECT rep, round(max(CASE WHEN language = 'F' THEN m END) - max(CASE WHEN language = 'O' THEN m END), 6) AS diff FROM
       (SELECT rep, language, CAST({d.pct('n_bytes', 0.5)} AS DOUBLE) AS m FROM ({wide}) w GROUP BY rep, language) q GROUP BY rep"""
 
 
 @shared("i16_paired_randomisation")
-def _(d):
+def _(d, reps=20):
     h = d.key("'5'", "r.rep", "p.file_id")
     return f"""SELECT max(observed) AS observed, count(*) AS n, round(CAST(1 + sum(CASE WHEN diff >= observed THEN 1 ELSE 0 END) AS DOUBLE) / (count(*) + 1), 9) AS p FROM
-      (SELECT r.rep, CAST(sum(CASE WHEN substr({h}, 1, 1) < '8' THEN p.fn - p.tp ELSE p.tp - p.fn END) AS BIGINT) AS diff FROM {d.t('per_file')} p CROSS JOIN (SELECT {d.series(0, 19)} AS rep) r GROUP BY r.rep) a
+      (SELECT r.rep, CAST(sum(CASE WHEN substr({h}, 1, 1) < '8' THEN p.fn - p.tp ELSE p.tp - p.fn END) AS BIGINT) AS diff FROM {d.t('per_file')} p CROSS JOIN (SELECT {d.series(0, reps - 1)} AS rep) r GROUP BY r.rep) a
       CROSS JOIN (SELECT CAST(sum(tp - fn) AS BIGINT) AS observed FROM {d.t('per_file')}) o"""
 
 
@@ -121,10 +121,10 @@ def _(d):
 
 
 @shared("i18_clustered_bootstrap")
-def _(d):
+def _(d, reps=20):
     h = d.hash32(d.key("'9'", "rep", "j"))
     clusters = f"(SELECT c_nationkey AS cl, CAST(sum(p.tp) AS BIGINT) AS tp, CAST(sum(p.fp + p.fn) AS BIGINT) AS miss FROM {d.t('per_file')} p JOIN {d.t('orders')} o ON o.o_orderkey = p.file_id JOIN {d.t('customer')} c ON c.c_custkey = o.o_custkey GROUP BY c_nationkey)"
-    return f"""SELECT rep, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(miss) AS BIGINT) AS miss FROM (SELECT rep, {h} % n AS number FROM (SELECT rep, n, {d.series(0, 'n - 1')} AS j FROM (SELECT count(*) AS n FROM {clusters} c) x CROSS JOIN (SELECT {d.series(0, 19)} AS rep) r) y) w
+    return f"""SELECT rep, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(miss) AS BIGINT) AS miss FROM (SELECT rep, {h} % n AS number FROM (SELECT rep, n, {d.series(0, 'n - 1')} AS j FROM (SELECT count(*) AS n FROM {clusters} c) x CROSS JOIN (SELECT {d.series(0, reps - 1)} AS rep) r) y) w
       JOIN (SELECT tp, miss, row_number() OVER (ORDER BY cl) - 1 AS number FROM {clusters} c) k ON k.number = w.number GROUP BY rep"""
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What writes the SQL of a shared query, over a Dialect.
+MAKES: dict[str, Callable] = {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -164,6 +166,7 @@ def shared(name: str):
     def register(make):
         QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, make(SPARK))
         ORACLES[name] = make(DUCK)
+        MAKES[name] = make
         return make
 
     return register

@@ -144,3 +144,22 @@ def test_sinks_and_sources(spark, tmp_path):
     good, bad = readers.verified(files, manifest)
     assert good.count() == 1 and sorted(r["problem"] for r in bad.collect()) == ["length", "missing"]
     assert writers.fingerprint(df) == writers.fingerprint(df.repartition(3))
+
+
+def test_full_replicates_at_small_counts(spark, sf_dir, monkeypatch):
+    """The queries of many replicates are the ones that SQL follows, at their counts."""
+    from spanalign.plans import QUERIES, replicates
+
+    assert (replicates.REPS, replicates.BOOT) == (10_000, 2_000)
+
+    def rows(name, where="true"):
+        got = QUERIES[name](spark, sf_dir).where(where)
+        return sorted(str([f"{r[c]:.9g}" if isinstance(r[c], float) else r[c] for c in sorted(got.columns)]) for r in got.collect())
+
+    monkeypatch.setattr(replicates, "BOOT", 20)
+    for reps, names in ((10, "i7_permutation_summary i8_permutation_z i9_two_tails e39_verdicts i10_file_bootstrap i13_baseline_difference i18_clustered_bootstrap"), (20, "i16_paired_randomisation")):
+        monkeypatch.setattr(replicates, "REPS", reps)
+        for name in names.split():
+            assert rows(f"{name}_full") == rows(name), name
+    assert rows("i4_prefix_null_full", "rep < 5") == rows("i4_prefix_null")
+    assert rows("i15_median_difference_full", "rep < 10") == rows("i15_median_difference")
