@@ -70,8 +70,12 @@ class Workspace:
         self.drop(self.root)
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished queries now, not at the next large collection."""
+        """Lets Spark delete the shuffle files of finished queries now, not at the next large collection.
+
+        The scheduler holds on to the last job's stages until another one has run.
+        """
         gc.collect()
+        self.spark.range(1).count()
         self.spark._jvm.System.gc()
 
 

@@ -1,17 +1,21 @@
-"""Removal of long repeated byte strings by blockwise suffix ties over a difference cover.
+"""Removal of long repeated byte strings by blockwise suffix sorting over a difference cover.
 
 A string of WIDTH bytes repeats if the suffixes that start with it tie over WIDTH bytes. Sorting all
 suffixes at once would take many times the text; instead
 
 1. only the suffixes at places of a difference cover are ranked, by their first KEY bytes. For any
    two suffixes some common shift below PERIOD puts both on the cover, and KEY + PERIOD - 1 = WIDTH:
-   suffixes without a tied cover place in their first PERIOD bytes have no tie of WIDTH bytes;
-2. the others are sorted by all WIDTH bytes, and the smallest document of each tie keeps it.
-
-Both steps take one bucket of suffixes after another, so that only a fixed part of them is ever on
-disk. Ranks and sorts go by 64-bit names of the strings, as only ties matter. Inside a block of
-text ties are resolved before anything is sent; a string that a third of all documents share is
-sent once for each block.
+   suffixes without a tied cover place in their first PERIOD bytes have no tie of WIDTH bytes. Ranks
+   are 32 bits inside a range of ranks; two strings of one rank only make a candidate;
+2. the others are dealt into buckets by the least rank among the strings of KEY bytes in their first
+   WIDTH bytes. Neighbouring suffixes mostly fall into the same bucket and travel as one piece of
+   text, a byte or so more than four for each suffix. One bucket of suffixes is sorted after another,
+   by names of their first WIDTH bytes; ties are held against the bytes themselves, and the smallest
+   document of each tie keeps the string.
+
+Inside a part of a block equal pieces are resolved before anything is sent: a string that a third of
+all documents share is sent once for each part. A long text is taken in parts, a long bucket in
+chunks, of which only the distinct strings are carried on.
 """
 
 from __future__ import annotations
@@ -20,28 +24,38 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanalign.llm.common import Workspace, table
 from spanalign.llm.runs import runs
-from spanalign.llm.shingles import _inverse, mix, powers
+from spanalign.llm.shingles import constants, mix
 
 WIDTH = 50
 # A perfect difference set, every residue is a difference of two of its members.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 KEY = WIDTH - PERIOD + 1
-#: Buckets that one step takes one after another: the part of all suffixes that is on disk at once.
-BUCKETS = 4
 BLOCK = 4 << 20
-#: Bytes of text for each range of names that one reducer sorts.
-RANGE = 8 << 20
+#: Bytes of text that are hashed at once: whole periods.
+PART = PERIOD << 17
+#: Bytes of text for each range of ranks, or of buckets, that one reducer sorts.
+RANGE = 4 << 20
+#: Suffixes that are sorted at once.
+CHUNK = 1 << 20
+#: Parts into which the copies of one text are dealt.
+SALT = 64
 NO_KEY = 1 << 62
 
 _U = np.uint64
+_MULTIPLIERS = constants(8, 11)
+#: Places from which eight bytes each make up KEY, and WIDTH, bytes.
+_KEY_AT = (0, 8, KEY - 8)
+_WIDTH_AT = (0, 8, 16, 24, 32, 40, WIDTH - 8)
 BLOCK_SQL = "g bigint, ids binary, hashes binary, ends binary, data binary"
-SENT = "r bigint, g bigint, known boolean, h binary, id binary, pos binary"
+RANKS = "r bigint, g bigint, known boolean, h binary, pos binary, id binary, n binary"
+PIECES = "r bigint, g bigint, known boolean, data binary, pos binary, len binary, id binary, n binary"
 
 
 def blocks(batches):
@@ -73,171 +87,312 @@ def blocks(batches):
         yield row()
 
 
-class Names:
-    """64-bit names of the strings of one length at any places of one block."""
+def _words(data) -> np.ndarray:
+    """The eight bytes from every place on, as numbers."""
+    a = np.frombuffer(data, np.uint8)
+    out = np.empty(max(0, len(a) - 7), _U)
+    for k in range(min(8, len(out))):
+        out[k::8] = np.frombuffer(a, "<u8", (len(a) - k) // 8, k)[: len(out[k::8])]
+    return out
 
-    def __init__(self, data: bytes):
-        a = np.frombuffer(data, np.uint8)
-        self.n = len(a)
-        self.p = powers(self.n + 1)
-        self.total = np.empty(self.n + 1, _U)
-        self.total[0] = 0
-        scaled = a.astype(_U)
-        scaled += _U(1)
-        scaled *= self.p[: self.n]
-        np.cumsum(scaled, out=self.total[1:])
-        self.scale = _inverse(self.n)
 
-    def at(self, places: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.total[places + length] - self.total[places]) * self.p[self.n - places] * self.scale)
+def _names(words) -> np.ndarray:
+    """64-bit names of the strings that the words make up together."""
+    h = None
+    for w, m in zip(words, _MULTIPLIERS, strict=False):
+        h = w * m if h is None else (h ^ w) * m
+        h ^= h >> _U(32)
+    return mix(h)
 
 
-def _sent(g: int, h: np.ndarray, ids: np.ndarray, pos: np.ndarray, first: bool, ranges: int):
-    """Rows of SENT for one block's names: what is tied inside of it, and what others have to see."""
-    order = np.argsort(h)
-    hs, by = h[order], ids[order]
-    starts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.empty(0, np.int64)
-    if not len(starts):
-        return
-    n = np.diff(np.concatenate([starts, [len(hs)]]))
-    least = np.minimum.reduceat(by, starts)
-    if first:
-        greatest = np.maximum.reduceat(by, starts)
-        groups = np.flatnonzero(least != greatest)
-        tied = np.repeat(least != greatest, n)
-        send = ~tied
-        # one row of the least and one of the greatest key: of one key alone, others of that key would see no tie
-        at, of = np.flatnonzero(tied), np.repeat(groups, n[groups])
-        for edge in (least, greatest):
-            some = by[at] == edge[of]
-            rows, group = at[some], of[some]
-            send[rows[np.diff(group, prepend=-1) != 0]] = True
-    else:
-        tied = by > np.repeat(least, n)
-        send = ~tied
-    known = np.sort(pos[order[tied]])
-    names = ["r", "g", "known", "h", "id", "pos"]
-    if len(known):
-        yield pa.RecordBatch.from_arrays([pa.array([g % ranges], pa.int64()), pa.array([g], pa.int64()), pa.array([True]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([_steps(known)], pa.binary())], names=names)
-    keep = np.sort(order[send])
-    r = ((h[keep] >> _U(8)) % _U(ranges)).astype(np.int64)
-    order = np.argsort(r, kind="stable")
-    keep, r = keep[order], r[order]
-    cuts = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]]) if len(r) else np.array([0])
-    rows = [(int(r[a]), h[keep[a:b]].tobytes(), _steps(ids[keep[a:b]], np.int64), _steps(pos[keep[a:b]])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    if rows:
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array([g] * len(rows), pa.int64()), pa.array([False] * len(rows)), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
+def _parts(n: int):
+    """(from, to) of each part's places; a part's strings may reach WIDTH bytes beyond it."""
+    return [(lo, min(n, lo + PART)) for lo in range(0, n, PART)]
 
 
-def _steps(a: np.ndarray, kind=np.uint32) -> bytes:
-    """Ascending numbers, or runs of equal ones, as their differences, which compress well."""
-    return np.diff(a, prepend=np.int64(0)).astype(kind).tobytes()
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of the runs of equal values."""
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[starts], np.diff(np.concatenate([starts, [len(x)]]))
+
+
+def _steps(a: np.ndarray) -> bytes:
+    """Ascending places as their differences, which compress well."""
+    return np.diff(a, prepend=np.int64(0)).astype(np.uint32).tobytes()
 
 
 def _places(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
 
 
+def _batch(schema: str, rows: list) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _by_range(r: np.ndarray):
+    """Order by range that keeps the order inside of each, and (range, from, to) of each."""
+    order = np.argsort(r, kind="stable")
+    values, n = _runs_of(r[order])
+    ends = np.cumsum(n)
+    return order, list(zip(values.tolist(), (ends - n).tolist(), ends.tolist(), strict=True))
+
+
+def _edges_of_ties(order: np.ndarray, h: np.ndarray, ids: np.ndarray):
+    """(least id, greatest id, size) of each group of equal names in the order."""
+    values, n = _runs_of(h[order])
+    if not len(n):
+        return n, n, n
+    starts, by = np.cumsum(n) - n, ids[order]
+    return np.minimum.reduceat(by, starts), np.maximum.reduceat(by, starts), n
+
+
 def _blocks_of(batches):
     for batch in batches:
         for k in range(batch.num_rows):
             row = {n: batch.column(j)[k] for j, n in enumerate(batch.schema.names)}
-            yield (
-                row["g"].as_py(), row["data"].as_py(),
-                *(np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ids", "hashes", "ends")),
-                [_places(x) for x in row["hits"].as_py() or ()] if "hits" in row else [],
-            )
+            hits = row["hits"].as_py() if "hits" in row else None
+            yield row["g"].as_py(), row["data"].as_buffer(), *(np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ids", "hashes", "ends")), hits or []
+
 
+def _ranks(words: np.ndarray, at) -> np.ndarray:
+    return _names([words[at + k] if isinstance(at, np.ndarray) else words[at.start + k : at.stop + k] for k in _KEY_AT])
 
-def sampler(bucket: int, ranges: int):
-    """Step 1 for one bucket: names of KEY bytes at the cover's places."""
+
+def sampler(ranges: int):
+    """Step 1: ranks of KEY bytes at the cover's places, and which are tied inside of a part."""
     def run(batches):
         with np.errstate(over="ignore"):
             for g, data, ids, _, ends, _ in _blocks_of(batches):
-                places = (np.arange(-(-len(data) // PERIOD))[:, None] * PERIOD + np.array(COVER)).ravel()
-                places = places[places < len(data)]
-                doc = np.searchsorted(ends, places, "right")
-                inside = places + KEY <= ends[doc]
-                places, doc = places[inside], doc[inside]
-                h = Names(data).at(places, KEY)
-                mine = (h & _U(255)) % _U(BUCKETS) == bucket
-                yield from _sent(g, h[mine], ids[doc[mine]], places[mine], True, ranges)
+                for lo, hi in _parts(len(data)):
+                    words = _words(data[lo : hi + WIDTH])
+                    places = (np.arange(-(-(hi - lo) // PERIOD))[:, None] * PERIOD + np.array(COVER)).ravel()
+                    places = places[places < hi - lo]
+                    doc = np.searchsorted(ends, places + lo, "right")
+                    inside = places + lo + KEY <= ends[doc]
+                    places, by = places[inside], ids[doc[inside]]
+                    h = _ranks(words, places)
+                    order = np.argsort(h)
+                    least, greatest, n = _edges_of_ties(order, h, by)
+                    tied = np.repeat(least != greatest, n)
+                    send = np.empty(len(h), bool)
+                    send[order] = ~tied
+                    # one row of the least and one of the greatest key: of one key alone, others of that key would see no tie
+                    at, group = order[tied], np.repeat(np.arange(len(n)), n)[tied]
+                    for edge in (least, greatest):
+                        some = by[at] == edge[group]
+                        send[at[some][np.diff(group[some], prepend=-1) != 0]] = True
+                    rows = []
+                    if len(at):
+                        rows.append((g % ranges, g, True, None, _steps(np.sort(places[at]) + lo), None, None))
+                    keep = np.flatnonzero(send)
+                    r = ((h[keep] & _U(0xFFFFFFFF)) % _U(ranges)).astype(np.int64)
+                    order, cuts = _by_range(r)
+                    keep = keep[order]
+                    short, place, by = (h[keep] >> _U(32)).astype(np.uint32), places[keep] + lo, by[keep]
+                    for value, a, b in cuts:
+                        who, many = _runs_of(by[a:b])
+                        rows.append((value, g, False, short[a:b].tobytes(), _steps(place[a:b]), who.tobytes(), many.astype(np.uint32).tobytes()))
+                    if rows:
+                        yield _batch(RANKS, rows)
 
     return run
 
 
-def _candidates(n: int, ends: np.ndarray, hits: list[np.ndarray]) -> np.ndarray:
-    """Starts of the strings of WIDTH bytes, inside a document, that hold a tied place in their first PERIOD bytes."""
-    step = np.zeros(n + 1, np.int32)
-    for p in hits:
-        p = np.unique(p)
-        np.add.at(step, np.maximum(p - PERIOD + 1, 0), 1)
-        np.add.at(step, p + 1, -1)
-    places = np.flatnonzero(np.cumsum(step)[:n] > 0)
-    return places[places + WIDTH <= ends[np.searchsorted(ends, places, "right")]]
-
-
-def sorter(bucket: int, ranges: int):
-    """Step 2 for one bucket: names of WIDTH bytes wherever step 1 leaves a tie possible."""
+def _open(rows: pa.Table, kind: str):
+    """The rows that have an answer already as (g, hit); the others."""
+    known = rows.column("known")
+    direct = rows.filter(known)
+    done = pa.RecordBatch.from_arrays([pc.cast(direct.column("g").combine_chunks(), pa.int64()), pc.cast(direct.column(kind).combine_chunks(), pa.binary())], names=["g", "hit"])
+    return done, rows.filter(pc.invert(known))
+
+
+def _owners(part) -> np.ndarray:
+    return np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(n, np.uint32)) for a, n in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), strict=True)])
+
+
+def tied_ranks(batches):
+    """RANKS sorted by r -> (g, hit): places of the cover that tie with one of another document."""
+    for rows in runs(batches, "r"):
+        done, rows = _open(rows, "pos")
+        if done.num_rows:
+            yield done
+        r = rows.column("r").to_numpy()
+        _, n = _runs_of(r)
+        for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+            part = rows.slice(a, k)
+            hs = [np.frombuffer(x, np.uint32) for x in part.column("h").to_pylist()]
+            h, ids = np.concatenate(hs), _owners(part)
+            order = np.argsort(h)
+            least, greatest, n_of = _edges_of_ties(order, h, ids)
+            hit = np.empty(len(h), bool)
+            hit[order] = np.repeat(least != greatest, n_of)
+            out, at = [], 0
+            for g, x, p in zip(part.column("g").to_pylist(), hs, part.column("pos").to_pylist(), strict=True):
+                some = hit[at : at + len(x)]
+                at += len(x)
+                if some.any():
+                    out.append((g, _steps(_places(p)[some])))
+            if out:
+                yield _batch("g bigint, hit binary", out)
+
+
+def _sliding(x: np.ndarray, op) -> np.ndarray:
+    """op over each PERIOD neighbours."""
+    width = 1
+    while 2 * width <= PERIOD:
+        x = op(x[:-width], x[width:])
+        width *= 2
+    rest = PERIOD - width
+    return op(x[:-rest], x[rest:]) if rest else x
+
+
+def _candidates(lo: int, hi: int, ends: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Whether the string of WIDTH bytes from each place lo..hi on is inside a document and holds a tied place in its first PERIOD bytes."""
+    tied = np.zeros(hi - lo + PERIOD - 1, bool)
+    a, b = np.searchsorted(hits, [lo, hi + PERIOD - 1])
+    tied[hits[a:b] - lo] = True
+    some = _sliding(tied, np.logical_or)
+    a, b = np.searchsorted(ends, [lo, hi + WIDTH], "right")
+    late = (np.unique(ends[a : b + 1])[:, None] - np.arange(1, WIDTH)).ravel() - lo
+    some[late[(late >= 0) & (late < hi - lo)]] = False
+    return some
+
+
+def _pieces_of(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The texts of the pieces: all WIDTH bytes of each of their n suffixes."""
+    size = n + WIDTH - 1
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat((starts - offsets[:-1]).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
+
+
+def sorter(ranges: int):
+    """Step 2: the suffixes that step 1 leaves a tie possible for, as pieces of text dealt by their bucket."""
     def run(batches):
         with np.errstate(over="ignore"):
             for g, data, ids, _, ends, hits in _blocks_of(batches):
                 if not hits:
                     continue
-                places = _candidates(len(data), ends, hits)
-                doc = np.searchsorted(ends, places, "right")
-                h = Names(data).at(places, WIDTH)
-                mine = (h & _U(255)) % _U(BUCKETS) == bucket
-                yield from _sent(g, h[mine], ids[doc[mine]], places[mine], False, ranges)
+                tied = np.unique(np.concatenate([_places(x) for x in hits]))
+                whole = np.frombuffer(data, np.uint8)
+                for lo, hi in _parts(len(data)):
+                    starts = np.flatnonzero(_candidates(lo, hi, ends, tied))
+                    if not len(starts):
+                        continue
+                    text = whole[lo : hi + WIDTH]
+                    words = _words(text)
+                    ranks = (_ranks(words, slice(0, len(text) - KEY + 1)) >> _U(32)).astype(np.uint32)
+                    del words
+                    bucket = _sliding(ranks, np.minimum)[starts]
+                    cut = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(bucket) != 0)]))
+                    n = np.diff(np.concatenate([cut, [len(starts)]]))
+                    starts, r = starts[cut], (mix(bucket[cut].astype(_U)) % _U(ranges)).astype(np.int64)
+                    order, _ = _by_range(r)
+                    starts, n, r = starts[order], n[order], r[order]
+                    by = ids[np.searchsorted(ends, starts + lo, "right")]
+                    texts = _pieces_of(text, starts, n)
+                    same = pc.dictionary_encode(texts).indices.to_numpy()
+                    order = np.argsort(same, kind="stable")
+                    least, _, size = _edges_of_ties(order, same, by)
+                    kept = by == least[same]
+                    rows = []
+                    if not kept.all():
+                        rows.append((g % ranges, g, True, _spans(starts[~kept] + lo, n[~kept]), None, None, None, None))
+                        texts, starts, n, r, by = texts.filter(pa.array(kept)), starts[kept], n[kept], r[kept], by[kept]
+                    raw, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32)
+                    for value, a, b in _by_range(r)[1]:
+                        who, many = _runs_of(by[a:b])
+                        rows.append((value, g, False, raw[int(offsets[a]) : int(offsets[b])].to_pybytes(), _steps(starts[a:b] + lo), n[a:b].astype(np.uint32).tobytes(), who.tobytes(), many.astype(np.uint32).tobytes()))
+                    yield _batch(PIECES, rows)
 
     return run
 
 
-def resolver(first: bool):
-    """SENT sorted by r -> (g, hit): places that are tied (first), or tied with a smaller document."""
-    def run(batches):
-        for rows in runs(batches, "r"):
-            known = rows.column("known").to_numpy(zero_copy_only=False)
-            direct = rows.filter(pa.array(known))
-            if direct.num_rows:
-                yield pa.RecordBatch.from_arrays([direct.column("g").combine_chunks(), direct.column("pos").combine_chunks().cast(pa.binary())], names=["g", "hit"])
-            rows = rows.filter(pa.array(~known))
-            r = rows.column("r").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1, [len(r)]]) if len(r) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = rows.slice(a, b - a)
-                hs = [np.frombuffer(x, _U) for x in part.column("h").to_pylist()]
-                h, ids = np.concatenate(hs), np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in part.column("id").to_pylist()])
-                order = np.argsort(h)
-                by, hs_sorted = ids[order], h[order]
-                starts = np.flatnonzero(np.concatenate([[True], hs_sorted[1:] != hs_sorted[:-1]]))
-                n = np.diff(np.concatenate([starts, [len(h)]]))
-                least = np.minimum.reduceat(by, starts)
-                hit = np.zeros(len(h), bool)
-                hit[order] = np.repeat(least != np.maximum.reduceat(by, starts), n) if first else by > np.repeat(least, n)
-                at = 0
-                gs, out = [], []
-                for g, x, p in zip(part.column("g").to_pylist(), hs, part.column("pos").to_pylist(), strict=True):
-                    some = _places(p)[hit[at : at + len(x)]]
-                    at += len(x)
-                    if len(some):
-                        gs.append(g)
-                        out.append(_steps(some))
-                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(out, pa.binary())], names=["g", "hit"])
-
-    return run
-
-
-def _step(text: DataFrame, make, first: bool, ranges: int, work: Workspace) -> tuple[DataFrame, list[str]]:
-    """(g, hits), all buckets' hits by block, and the tables that it reads."""
-    paths = []
-    for bucket in range(BUCKETS):
-        sent = text.mapInArrow(make(bucket, ranges), SENT).repartition("r").sortWithinPartitions("r")
-        paths.append(work.write(sent.mapInArrow(resolver(first), "g bigint, hit binary")))
-        del sent  # its shuffle files go with it
-        work.release()
-    return work.read(*paths, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits")), paths
+def _spans(starts: np.ndarray, n: np.ndarray) -> bytes:
+    return np.stack([starts, n], 1).astype(np.uint32).tobytes()
+
+
+class _Bucket:
+    """Suffixes of one bucket, sorted so far: their bytes, owners and places."""
+
+    def __init__(self):
+        self.words = np.empty((len(_WIDTH_AT), 0), _U)
+        self.ids = self.g = self.pos = np.empty(0, np.int64)
+
+    def add(self, part: pa.Table):
+        """Sorts a chunk in; yields (g, hit), spans of suffixes that tie with a smaller document."""
+        texts = part.column("data").to_pylist()
+        lens = [np.frombuffer(x, np.uint32).astype(np.int64) for x in part.column("len").to_pylist()]
+        n = np.concatenate(lens)
+        size = n + WIDTH - 1
+        first = np.cumsum(n) - n
+        at = np.repeat(np.cumsum(size) - size - first, n) + np.arange(int(n.sum()))
+        pos = np.repeat(np.concatenate([_places(x) for x in part.column("pos").to_pylist()]) - first, n) + np.arange(len(at))
+        g = np.repeat(np.repeat(part.column("g").to_numpy(), [len(x) for x in lens]), n)
+        raw = b"".join(texts)
+        view = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+        words = np.stack([view[at + k] for k in _WIDTH_AT])
+        if len(self.ids):
+            words = np.concatenate([self.words, words], 1)
+            pos, g = np.concatenate([self.pos, pos]), np.concatenate([self.g, g])
+        ids = np.concatenate([self.ids, np.repeat(_owners(part), n)])
+        h = _names(words)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        left, right = order[:-1][same], order[1:][same]
+        if any((w[left] != w[right]).any() for w in words):
+            # two strings of one name: the bytes decide, and give the name
+            order = np.lexsort(words)
+            h = np.empty(len(order), _U)
+            h[order] = np.cumsum(np.concatenate([[0], (np.diff(words[:, order].view(np.int64), axis=1) != 0).any(0)]))
+        least, _, n_of = _edges_of_ties(order, h, ids)
+        hit = np.empty(len(ids), bool)
+        hit[order] = ids[order] > np.repeat(least, n_of)
+        some = np.flatnonzero(hit)
+        if len(some):
+            gs, ps = g[some], pos[some]
+            new = np.concatenate([[True], (np.diff(gs) != 0) | (np.diff(ps) != 1)])
+            cut = np.flatnonzero(new)
+            gs, ps, many = gs[cut], ps[cut], np.diff(np.concatenate([cut, [len(some)]]))
+            values, k = _runs_of(gs)
+            ends = np.cumsum(k)
+            yield _batch("g bigint, hit binary", [(v, _spans(ps[b - m : b], many[b - m : b])) for v, m, b in zip(values.tolist(), k.tolist(), ends.tolist(), strict=True)])
+        self.words, self.ids, self.g, self.pos = words[:, ~hit], ids[~hit], g[~hit], pos[~hit]
+
+
+def tied_suffixes(batches):
+    """PIECES sorted by r -> (g, hit): spans of suffixes that tie with one of a smaller document."""
+    with np.errstate(over="ignore"):
+        last, bucket = None, None
+        for batch in batches:
+            done, rows = _open(pa.Table.from_batches([batch]), "data")
+            if done.num_rows:
+                yield done
+            _, n = _runs_of(rows.column("r").to_numpy())
+            for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
+                part = rows.slice(a, k)
+                if part.column("r")[0].as_py() != last:
+                    last, bucket = part.column("r")[0].as_py(), _Bucket()
+                size = pc.binary_length(part.column("len")).to_numpy().astype(np.int64)
+                size = pc.binary_length(part.column("data")).to_numpy() - (WIDTH - 1) * (size // 4)
+                chunk = (np.cumsum(size) - size) // CHUNK
+                _, m = _runs_of(chunk)
+                for b, c in zip((np.cumsum(m) - m).tolist(), m.tolist(), strict=True):
+                    yield from bucket.add(part.slice(b, c))
+
+
+def _step(text: DataFrame, make, schema: str, resolve, ranges: int, work: Workspace) -> tuple[DataFrame, str]:
+    """(g, hits), all hits by block, and the table that it reads."""
+    sent = text.mapInArrow(make(ranges), schema).repartition("r").sortWithinPartitions("r")
+    path = work.write(sent.mapInArrow(resolve, "g bigint, hit binary"))
+    del sent  # its shuffle files go with it
+    work.release()
+    return work.read(path, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits")), path
 
 
 def _whole(data: bytes, covered: np.ndarray) -> np.ndarray:
@@ -250,17 +405,27 @@ def _whole(data: bytes, covered: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_and.reduceat(covered, starts), n)
 
 
+def _covered(n: int, hits: list[bytes]) -> np.ndarray:
+    """Bytes that the spans of suffixes cover with their WIDTH bytes."""
+    spans = np.frombuffer(b"".join(hits), np.uint32).astype(np.int64).reshape(-1, 2)
+    spans = spans[np.argsort(spans[:, 0])]
+    starts, ends = spans[:, 0], np.maximum.accumulate(spans.sum(1) + WIDTH - 1)
+    step = np.zeros(n + 1, np.int8)
+    if len(spans):
+        new = np.concatenate([[True], starts[1:] > ends[:-1]])
+        step[starts[new]] = 1
+        step[ends[np.concatenate([new[1:], [True]])]] = -1
+    return np.cumsum(step, dtype=np.int8)[:n].view(bool)
+
+
 FINISHED = "id bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
 
 def finish(with_text: bool):
     def run(batches):
         for _, data, ids, hashes, ends, hits in _blocks_of(batches):
-            step = np.zeros(len(data) + 1, np.int32)
-            for p in hits:
-                np.add.at(step, p, 1)
-                np.add.at(step, p + WIDTH, -1)
-            covered = np.cumsum(step)[: len(data)] > 0
+            covered = _covered(len(data), hits)
+            data = data.to_pybytes()
             out, at = [], 0
             for i, th, end in zip(ids.tolist(), hashes.tolist(), ends.tolist(), strict=True):
                 mask, raw = covered[at:end], data[at:end]
@@ -295,9 +460,12 @@ def _repeats(docs: DataFrame, key: str, text: str, with_text: bool, work: Worksp
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
     n = F.octet_length("text").cast("long")
     narrow = work.keep(src.select("id", "th", F.xxhash64(F.lit(1), "text").alias("th2"), n.alias("n"), F.when(n < WIDTH, F.sha2("text", 256)).alias("sha"), F.when(n < WIDTH, F.col("text")).alias("short")))
-    # copies of a smaller document's whole text: nothing stays of them, and nobody needs them
-    least = narrow.groupBy("th", "th2").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    copies = work.keep(narrow.join(least, ["th", "th2"]).where("id > least").drop("least", "c", "th2"))
+    # copies of a smaller document's whole text: nothing stays of them, and nobody needs them. A text that
+    # a third of all rows hold is summed, and met, in SALT parts
+    narrow = narrow.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
+    least = narrow.groupBy("th", "th2", "salt").agg(F.min("id").alias("least"), F.count("*").alias("c")).groupBy("th", "th2")
+    least = least.agg(F.min("least").alias("least"), F.sum("c").alias("c"), F.collect_list("salt").alias("salts")).where("c > 1").select("th", "th2", "least", F.explode("salts").alias("salt"))
+    copies = work.keep(narrow.join(least, ["th", "th2", "salt"]).where("id > least").drop("least", "salt", "th2"))
     whole = F.col("n") >= WIDTH
     empty = hashlib.sha256(b"").hexdigest()
     of_copies = copies.select(
@@ -312,14 +480,9 @@ def _repeats(docs: DataFrame, key: str, text: str, with_text: bool, work: Worksp
     del left
     work.release()
     whole_text = work.read(text_path, schema=BLOCK_SQL)
-    tied, tied_paths = _step(whole_text, sampler, True, ranges, work)
-    held_path = work.write(whole_text.join(tied, "g", "left"))
-    work.drop(text_path, *tied_paths)
-    del tied, whole_text
-    work.release()
-    held = work.read(held_path, schema=BLOCK_SQL + ", hits array<binary>")
-    found, _ = _step(held, sorter, False, ranges, work)
-    done = held.drop("hits").join(found, "g", "left").mapInArrow(finish(with_text), FINISHED)
+    tied, _ = _step(whole_text, sampler, RANKS, tied_ranks, ranges, work)
+    found, _ = _step(whole_text.join(tied, "g"), sorter, PIECES, tied_suffixes, ranges, work)
+    done = whole_text.join(found, "g", "left").mapInArrow(finish(with_text), FINISHED)
     return done.unionAll(of_copies)
 
 

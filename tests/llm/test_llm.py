@@ -177,6 +177,24 @@ def test_suffix_is_exact(spark):
     assert suffix.repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_in_parts(spark, monkeypatch):
+    """Several blocks, texts of several parts, buckets of several chunks, and names that tell nothing."""
+    rng = random.Random(9)
+    passage = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (49, 50, 60, 80, 200)]
+    texts = {k: "".join(rng.choice([*passage, "".join(rng.choice("xyz") for _ in range(rng.randrange(90)))]) for _ in range(rng.randrange(5))) for k in range(60)}
+    texts[70] = "".join(rng.choice(passage) for _ in range(40))
+    texts[71] = "ab" * 300
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    want = brute_repeats(list(texts.items()))
+    monkeypatch.setattr(suffix, "BLOCK", 1000)
+    monkeypatch.setattr(suffix, "PART", 10 * suffix.PERIOD)
+    monkeypatch.setattr(suffix, "CHUNK", 30)
+    for names in (suffix._names, lambda words: np.zeros(len(next(iter(words))), np.uint64)):
+        monkeypatch.setattr(suffix, "_names", names)
+        got = {r["id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix.repeats(docs).collect()}
+        assert got == want
+
+
 def test_suffix_equal_keys_in_several_blocks(spark, monkeypatch):
     """A passage that a smaller document has goes, also where another block's row of the same key has it."""
     monkeypatch.setattr(suffix, "BLOCK", 400)
@@ -274,13 +292,27 @@ def test_embeddings_exact(spark, monkeypatch):
     for _ in range(400):
         comp = np.minimum(comp, np.where(near, comp[None, :], 400).min(1))
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
-    for block in (embeddings.BLOCK, 40):
+    # one task; several cells; cells by groups of coordinates, with blocks, visitors and leaves of few vectors
+    for block, cells, leaf in ((embeddings.BLOCK, embeddings.CELLS, embeddings.LEAF), (40, 32, 8), (20, 2, 8)):
         monkeypatch.setattr(embeddings, "BLOCK", block)
+        monkeypatch.setattr(embeddings, "VISITORS", 2 * block)
+        monkeypatch.setattr(embeddings, "CELLS", cells)
+        monkeypatch.setattr(embeddings, "LEAF", leaf)
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.links(docs).collect()}
         assert {k: got[k] for k in range(400)} == {k: (int(near[k].sum()), int(comp[k])) for k in range(400)}
         assert all(got[k] == (0, k) for k in range(500, 506))
 
 
+def test_embeddings_odd_rows(spark):
+    """Null keys, repeated keys, extra columns that clash, no rows."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, "x"), (None, a, "x"), (1, b, "x"), (None, b, "x"), (None, [1.0, 1.0], "x"), (2, [-1.0, 0.0], "x"), (3, a, "y"), (4, [1.0], "x")]
+    docs = spark.createDataFrame([(*r, 9, 9) for r in rows], "vec_id long, embedding array<double>, label string, rep long, unit long")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.links(docs).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (None, 1, 1), (1, 1, 1), (None, 1, 1), (None, 0, None), (2, 0, 2), (3, 0, 3), (4, 0, 4)], key=str)
+    assert embeddings.links(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(
     "page, want",
     [
