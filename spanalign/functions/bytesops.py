@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanalign.functions import scans
+
 # Fixed values of the model-free score series: bytes after which a score is high, and its numbers.
 SEPARATORS = " \n\t()[]{};,.:="
 HIGH, LOW, STEP, MODULUS = 2.0, 0.4, 2654435761, 97
@@ -24,42 +27,21 @@ def hash32(hexdigest: Column) -> Column:
     return F.conv(F.substring(hexdigest, 1, 8), 16, 10).cast("long")
 
 
-def uniform(hexdigest: Column) -> Column:
-    return hash32(hexdigest) / F.lit(float(1 << 32))
-
-
 def pieces(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every match of a pattern: key, idx, start_byte, end_byte, piece.
-
-    Matches and what lies between them alternate; running sums of their byte lengths are the offsets.
-    """
-    # a match and the separator before it, by position; the last separator has no match
-    both = F.posexplode(F.arrays_zip(F.split(text, pattern).alias("sep"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("piece")))
-    rows = docs.select(key, both.alias("idx", "x")).select(key, "idx", F.col("x.piece").alias("piece"), F.coalesce(byte_length(F.col("x.sep")), F.lit(0)).alias("gap"))
-    size = F.coalesce(byte_length(F.col("piece")), F.lit(0))
-    end = F.sum(F.col("gap") + size).over(Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.select(key, F.col("idx").cast("long").alias("idx"), (end - size).alias("start_byte"), end.alias("end_byte"), "piece")
-    return out.where("piece IS NOT NULL")
-
-
-def byte_chars(text: str) -> str:
-    """SQL: array of one-character strings, one for each byte of a text."""
-    return f"split(decode(CAST({text} AS BINARY), 'ISO-8859-1'), '')"
-
+    """Every match of a pattern of ASCII classes: key, idx, start_byte, end_byte, piece; none for a null text."""
+    return scans.scan(docs, key, text, scans.matches(pattern), "idx bigint, start_byte bigint, end_byte bigint, piece string")
 
-def mock_scores(text: str = "text") -> Column:
-    """ARRAY<FLOAT>: one score per byte that looks at the byte before it; byte 0 sees a line feed.
 
-    The byte array is bound once by the outer transform, so the cost is linear in the text.
-    """
-    marks = ", ".join(f"'{c}'" if c not in "\n\t" else {"\n": "'\\n'", "\t": "'\\t'"}[c] for c in SEPARATORS)
-    return F.expr(
-        f"""transform(array({byte_chars(text)}), c -> transform(c, (x, i) ->
-          IF(i = 0 OR get(c, i - 1) IN ({marks}), CAST({HIGH} AS FLOAT), CAST({LOW} AS FLOAT))
-          + CAST(pmod(CAST(i AS BIGINT) * {STEP}L, {MODULUS}) / CAST(1000 AS DOUBLE) AS FLOAT)))[0]"""
-    )
+IS_SEPARATOR = np.zeros(256, bool)
+IS_SEPARATOR[[ord(c) for c in SEPARATORS]] = True
+_NOISE = np.array([(i * STEP % MODULUS) / 1000 for i in range(MODULUS)], np.float64).astype(np.float32)
 
 
-def char_starts(text: str = "text") -> Column:
-    """ARRAY<BIGINT>: byte offset of every code point, and the length at the end."""
-    return F.expr(f"aggregate(split({text}, ''), array(0L), (a, x) -> array_append(a, a[size(a) - 1] + octet_length(x)))")
+def mock_scores(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """float32 scores of the bytes of many texts; one looks at the byte before it, byte 0 sees a line feed."""
+    after = np.empty(len(data), bool)
+    after[1:] = IS_SEPARATOR[data[:-1]]
+    begins = np.concatenate([[0], ends[:-1]])
+    after[begins[begins < ends]] = True
+    place = np.arange(len(data)) - np.repeat(begins, ends - begins)
+    return np.where(after, np.float32(HIGH), np.float32(LOW)) + _NOISE[place % MODULUS]

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from spanalign.functions.bytesops import byte_length
+from spanalign.functions import scans
+
+
+def _lines(data, ends):
+    row, start, end = scans.line_table(data, ends)
+    base = np.concatenate([[0], ends[:-1]])[row]
+    size = np.diff(np.concatenate([[0], ends]))
+    return row, [scans.numbers(row), size[row], start - base, scans.substrings(data, start, end)]
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, i, line, start_byte, n for every line, empty ones too."""
-    rows = docs.select(key, byte_length(F.col(text)).alias("n"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    size = byte_length(F.col("line")) + 1
-    start = F.sum(size).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - size
-    return rows.withColumn("start_byte", start)
+    """key, i, n, start_byte, line for every line, empty ones too; n is the text's length."""
+    return scans.scan(docs.where(docs[text].isNotNull()), key, text, _lines, "i bigint, n bigint, start_byte bigint, line string")
+
+
+def _newlines(data, ends):
+    feeds = np.flatnonzero(data == 10)
+    row, base = scans.owners(ends, feeds)
+    inside = feeds + 1 < ends[row]
+    return row[inside], [(feeds + 1 - base)[inside]]
 
 
 def newlines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, byte_offset behind every line feed but one that ends the document."""
-    return lines(docs, key, text).where("i > 0 AND start_byte < n").select(key, F.col("start_byte").alias("byte_offset"))
+    return scans.scan(docs, key, text, _newlines, "byte_offset bigint")
+
+
+def _indent_changes(data, ends):
+    row, start, end = scans.line_table(data, ends)
+    indent, full = scans.indents(data, start, end)
+    row, start, indent = row[full], start[full], indent[full]
+    before = np.concatenate([[0], indent[:-1]])
+    before[np.flatnonzero(np.diff(row, prepend=-1))] = 0
+    changed = indent != before
+    base = np.concatenate([[0], ends[:-1]])[row]
+    return row[changed], [(start + indent - base)[changed]]
 
 
 def indent_changes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,7 +48,4 @@ def indent_changes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Lines of spaces, tabs and carriage returns only don't count; before the first line it is 0.
     """
-    full = lines(docs, key, text).where(F.col("line").rlike("[^ \\t\\r]"))
-    full = full.withColumn("ind", byte_length(F.col("line")) - byte_length(F.regexp_replace("line", "^[ \\t]+", "")))
-    before = F.lag("ind", 1, 0).over(Window.partitionBy(key).orderBy("i"))
-    return full.withColumn("before", before).where("ind <> before").select(key, (F.col("start_byte") + F.col("ind")).alias("byte_offset"))
+    return scans.scan(docs, key, text, _indent_changes, "byte_offset bigint")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanalign.functions.bytesops import byte_length, mock_scores
+from spanalign.functions.bytesops import mock_scores
+from spanalign.functions.scans import numbers, scan
 
 
 def patch_starts(scores: str, tau: float) -> Column:
@@ -16,44 +19,95 @@ def patch_starts(scores: str, tau: float) -> Column:
     )
 
 
+TRIGGERS = ("init", "entropy", "length_cap")
+
+
+def cut(data: np.ndarray, ends: np.ndarray, taus, max_length: int | None = None):
+    """The segments of many texts under each threshold, scores made once: (tau, row, start, length, trigger, score) each.
+
+    Starts count from the text's own; the trigger is a number of TRIGGERS.
+    """
+    score = mock_scores(data, ends)
+    begins = np.concatenate([[0], ends[:-1]])
+    for tau in taus:
+        start = score.astype(np.float64) > tau
+        start[begins[begins < ends]] = True
+        at = np.flatnonzero(start)
+        row = np.searchsorted(ends, at, "right")
+        stop = np.minimum(np.concatenate([at[1:], [len(data)]]), ends[row])
+        trigger, seen, known = (at != begins[row]).astype(np.int8), score[at], np.ones(len(at), bool)
+        if max_length:
+            parts = -(-(stop - at) // max_length)
+            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+            row, seen, stop = (np.repeat(x, parts) for x in (row, seen, stop))
+            at = np.repeat(at, parts) + max_length * k
+            stop = np.minimum(stop, at + max_length)
+            trigger, known = np.where(k > 0, 2, np.repeat(trigger, parts)), k == 0
+        yield tau, row, at - begins[row], stop - at, trigger, pa.array(seen, pa.float32(), mask=~known)
+
+
 def patches(docs: DataFrame, tau: float, max_length: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, patch_index, start_byte, patch_length, trigger, score; an empty text has no rows.
+    """key, patch_index, start_byte, patch_length, trigger, score; a null or empty text has no rows.
+
+    One pass over the bytes, no shuffle. With max_length, longer patches are cut at its multiples; the
+    further parts have the trigger length_cap and no score above tau.
+    """
+    def find(data, ends):
+        _, row, start, length, trigger, score = next(cut(data, ends, [tau], max_length))
+        names = pa.DictionaryArray.from_arrays(pa.array(trigger, pa.int8()), pa.array(TRIGGERS)).cast(pa.string())
+        return row, [numbers(row).astype(np.int32), start, length.astype(np.int32), names, score]
+
+    return scan(docs, key, text, find, "patch_index int, start_byte bigint, patch_length int, trigger string, score float")
 
-    All is one array expression per document: no shuffle. With max_length, longer patches are cut
-    at its multiples; the further parts have the trigger length_cap and no score above tau.
+
+def _sums(row: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(row, x, n)
+
+
+def _quantile(ordered: np.ndarray, first: np.ndarray, n: np.ndarray, q: float) -> np.ndarray:
+    """Linear quantiles of the runs of an array that is sorted inside of each."""
+    at = (n - 1) * q
+    low = np.floor(at).astype(np.int64)
+    a, b = ordered[first + low], ordered[first + np.minimum(low + 1, n - 1)]
+    return a + (b - a) * (at - low)
+
+
+SUMMARY = (
+    "tau double, n_patches bigint, n_bytes bigint, mean_bpp double, var_bpp double, min_bpp int, max_bpp int, n_init bigint, n_entropy bigint, n_length_cap bigint, "
+    "p10_bpp double, median_bpp double, p90_bpp double, ent_mean double, ent_max double, frac_above_tau double, total_milli bigint, n_high bigint"
+)
+
+
+def summaries(docs: DataFrame, taus, max_length: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and SUMMARY of each text under each threshold: bytes per patch, triggers, and the scores themselves.
+
+    Scores are made once for all thresholds, and a text's row is summed where it is; a null or empty text has no row.
     """
-    scored = docs.where(byte_length(F.col(text)) > 0).select(key, byte_length(F.col(text)).alias("n"), mock_scores(text).alias("s"))
-    # an expression that stands inside a lambda is evaluated for every element: the starts are bound first
-    ended = F.transform(F.array(patch_starts("s", tau)), lambda p: F.transform(p, lambda x, i: F.struct(
-        x["start"].alias("start"), F.coalesce(F.get(p, i + 1)["start"], F.col("n")).alias("end"), x["trigger"].alias("trigger"), x["score"].alias("score"))))[0]
-    parts = scored.select(key, ended.alias("p"))
-    if max_length:
-        cut = F.expr(
-            f"""flatten(transform(p, x -> transform(sequence(x.start, x.end - 1, {max_length}L), (a, k) ->
-              struct(a AS start, least(a + {max_length}L, x.end) AS end, IF(k = 0, x.trigger, 'length_cap') AS trigger, IF(k = 0, x.score, NULL) AS score))))"""
-        )
-        parts = parts.select(key, cut.alias("p"))
-    rows = parts.select(key, F.posexplode("p").alias("patch_index", "x"))
-    return rows.select(key, "patch_index", F.col("x.start").alias("start_byte"), (F.col("x.end") - F.col("x.start")).cast("int").alias("patch_length"), F.col("x.trigger").alias("trigger"), F.col("x.score").alias("score"))
-
-
-def patch_statistics(patches_: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Bytes per patch by document: mean, population variance, exact linear quantiles, triggers."""
-    q = F.percentile("patch_length", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    stats = patches_.groupBy(key).agg(
-        F.count("*").alias("n_patches"), F.sum("patch_length").alias("n_bytes"), F.avg("patch_length").alias("mean_bpp"),
-        F.var_pop("patch_length").alias("var_bpp"), F.min("patch_length").alias("min_bpp"), F.max("patch_length").alias("max_bpp"), q.alias("q"),
-        *(F.count_if(F.col("trigger") == t).alias(f"n_{t}") for t in ("init", "entropy", "length_cap")),
-    )
-    return stats.select("*", *(F.col("q")[i].alias(f"{n}_bpp") for i, n in enumerate(("p10", "median", "p90")))).drop("q")
-
-
-def score_statistics(docs: DataFrame, tau: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Mean, maximum and share above tau of each document's scores."""
-    rows = docs.where(byte_length(F.col(text)) > 0).select(key, mock_scores(text).alias("s"))
-    return rows.select(
-        key, F.size("s").cast("long").alias("n_bytes"),
-        F.expr("aggregate(s, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE), a -> a / size(s))").alias("ent_mean"),
-        F.array_max("s").cast("double").alias("ent_max"),
-        F.expr(f"size(filter(s, x -> CAST(x AS DOUBLE) > {tau!r})) / CAST(size(s) AS DOUBLE)").alias("frac_above_tau"),
-    )
+    def find(data, ends):
+        n_rows = len(ends)
+        size = np.diff(np.concatenate([[0], ends]))
+        full = size > 0
+        row_of = np.repeat(np.arange(n_rows), size)
+        score = mock_scores(data, ends).astype(np.float64)
+        mean = _sums(row_of, score, n_rows) / np.maximum(size, 1)
+        largest = np.zeros(n_rows)
+        largest[full] = np.maximum.reduceat(score, (ends - size)[full]) if full.any() else 0
+        milli = _sums(row_of, np.rint(score * 1000), n_rows).astype(np.int64)
+        high = _sums(row_of, score > 1, n_rows).astype(np.int64)
+        out = []
+        for tau, row, _, length, trigger, _ in cut(data, ends, taus, max_length):
+            above = _sums(row_of, score > tau, n_rows) / np.maximum(size, 1)
+            order = np.lexsort([length, row])
+            n = np.bincount(row, minlength=n_rows)
+            first = np.cumsum(n) - n
+            ordered = length[order].astype(np.float64)
+            average = size / np.maximum(n, 1)
+            spread = _sums(row, (length - average[row]) ** 2, n_rows) / np.maximum(n, 1)
+            here = np.flatnonzero(full)
+            first, n_here = first[here], n[here]
+            kinds = [np.bincount(row[trigger == k], minlength=n_rows)[here] for k in range(3)]
+            out.append((here, [np.full(len(here), tau), n_here, size[here], average[here], spread[here], ordered[first].astype(np.int32), ordered[first + n_here - 1].astype(np.int32), *kinds,
+                               *(_quantile(ordered, first, n_here, q) for q in (0.1, 0.5, 0.9)), mean[here], largest[here], above[here], milli[here], high[here]]))
+        return np.concatenate([r for r, _ in out]), [np.concatenate(c) for c in zip(*(c for _, c in out), strict=True)]
+
+    return scan(docs, key, text, find, SUMMARY)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanalign.functions.bytesops import byte_chars
+from spanalign.functions.scans import numbers, scan
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -41,12 +43,17 @@ def boundary_problems(patches: DataFrame, tau: float, longest: int, key: str = "
 
 def span_problems(docs: DataFrame, every: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, problem of spans of ``width`` bytes at every ``every``-th byte: outside, cuts a character, ok."""
-    inside = "(get(c, {0}) IS NOT NULL AND get(c, {0}) <> '' AND (ascii(get(c, {0})) & 192) = 128)"
-    made = F.expr(
-        f"""transform(array(filter({byte_chars(text)}, x -> x <> '')), c -> IF(size(c) = 0, CAST(array() AS array<string>), transform(sequence(0, size(c) - 1, {every}), s ->
-          CASE WHEN s + {width} > size(c) THEN 'outside' WHEN {inside.format('s')} OR {inside.format(f's + {width}')} THEN 'cuts_character' ELSE 'ok' END)))[0]"""
-    )
-    return docs.select(key, F.explode(made).alias("problem"))
+    def find(data, ends):
+        begins = np.concatenate([[0], ends[:-1]])
+        n = -(-(ends - begins) // every)
+        row = np.repeat(np.arange(len(ends)), n)
+        start = begins[row] + every * numbers(row)
+        end = start + width
+        inside = np.concatenate([(data & 0xC0) == 0x80, np.zeros(width + 1, bool)])
+        kind = np.where(end > ends[row], 0, np.where(inside[start] | (inside[end] & (end < ends[row])), 1, 2))
+        return row, [pa.DictionaryArray.from_arrays(pa.array(kind, pa.int8()), pa.array(["outside", "cuts_character", "ok"])).cast(pa.string())]
+
+    return scan(docs, key, text, find, "problem string")
 
 
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:

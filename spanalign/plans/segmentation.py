@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanalign.functions import bytesops as B
-from spanalign.operators import baselines, segment
+from spanalign.operators import baselines, offsets, segment
 from spanalign.plans.bindings import TAU, duck_patches, duck_scores
 from spanalign.plans.registry import frame, query, shared
 
@@ -18,6 +18,9 @@ def _bpp(source: str, key: str = "doc_id") -> str:
       count(*) FILTER (WHERE trigger = 'length_cap') AS n_length_cap FROM ({source}) GROUP BY {key}"""
 
 
+_BPP = "n_patches n_bytes mean_bpp var_bpp min_bpp max_bpp p10_bpp median_bpp p90_bpp n_init n_entropy n_length_cap".split()
+
+
 def _rounded(df):
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -25,7 +28,7 @@ def _rounded(df):
 @query("e11_bpp_summary", lambda d: _bpp(duck_patches()))
 def bpp_summary(spark, sf):
     """Flagship: scores, threshold segmentation and bytes-per-patch statistics of every document."""
-    return _rounded(segment.patch_statistics(frame(spark, sf, "patches")))
+    return _rounded(segment.summaries(frame(spark, sf, "documents"), [TAU]).select("doc_id", *_BPP))
 
 
 @query("f1_threshold_segmentation", lambda d: f"SELECT doc_id, patch_index, start_byte, patch_length, trigger, CAST(score AS DOUBLE) AS score FROM ({duck_patches()})")
@@ -44,28 +47,23 @@ def length_cap(spark, sf):
     return out.groupBy("doc_id", "trigger").agg(F.count("*").alias("n"), F.sum("patch_length").alias("n_bytes"), F.max("start_byte").alias("last_start"))
 
 
-@query("f4_rethreshold", lambda d: " UNION ALL ".join(f"SELECT {t} AS tau, doc_id, count(*) AS n_patches, max(patch_length) AS longest FROM ({duck_patches(t)}) GROUP BY doc_id" for t in (0.45, 1.5, 2.05)))
+_TAUS = (0.45, 1.5, 2.05)
+
+
+@query("f4_rethreshold", lambda d: " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS tau, doc_id, count(*) AS n_patches, max(patch_length) AS longest FROM ({duck_patches(t)}) GROUP BY doc_id" for t in _TAUS))
 def rethreshold(spark, sf):
     """The same scores under several thresholds: the series is made once per row."""
-    docs = frame(spark, sf, "documents")
-    out = None
-    for tau in (0.45, 1.5, 2.05):
-        one = segment.patches(docs, tau).groupBy("doc_id").agg(F.count("*").alias("n_patches"), F.max("patch_length").alias("longest"))
-        one = one.select(F.lit(tau).alias("tau"), "doc_id", "n_patches", "longest")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return segment.summaries(frame(spark, sf, "documents"), _TAUS).select("tau", "doc_id", "n_patches", F.col("max_bpp").alias("longest"))
 
 
 @query("e12_entropy_statistics", lambda d: f"SELECT doc_id, count(*) AS n_bytes, round(avg(CAST(score AS DOUBLE)), 6) AS ent_mean, round(CAST(max(score) AS DOUBLE), 6) AS ent_max, round(avg(CASE WHEN CAST(score AS DOUBLE) > {TAU!r} THEN 1.0 ELSE 0.0 END), 6) AS frac_above_tau FROM ({duck_scores()}) GROUP BY doc_id")
 def entropy_statistics(spark, sf):
-    return _rounded(segment.score_statistics(frame(spark, sf, "documents"), TAU))
+    return _rounded(segment.summaries(frame(spark, sf, "documents"), [TAU]).select("doc_id", "n_bytes", "ent_mean", "ent_max", "frac_above_tau"))
 
 
 @query("hs40_mock_entropy", lambda d: f"SELECT doc_id, count(*) AS n, sum(CAST(round(CAST(score AS DOUBLE) * 1000) AS BIGINT))::BIGINT AS total_milli, count(*) FILTER (WHERE score > 1) AS n_high FROM ({duck_scores()}) GROUP BY doc_id")
 def mock_entropy(spark, sf):
-    rows = frame(spark, sf, "documents").select("doc_id", B.mock_scores().alias("s"))
-    milli = F.expr("aggregate(s, 0L, (a, x) -> a + CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT))")
-    return rows.select("doc_id", F.size("s").cast("long").alias("n"), milli.alias("total_milli"), F.expr("CAST(size(filter(s, x -> x > 1)) AS BIGINT)").alias("n_high"))
+    return segment.summaries(frame(spark, sf, "documents"), [TAU]).select("doc_id", F.col("n_bytes").alias("n"), "total_milli", "n_high")
 
 
 _RUN = f"SELECT doc_id, count(*) AS n_bytes, round(avg(CAST(score AS DOUBLE)), 6) AS ent_mean FROM ({duck_scores()}) GROUP BY doc_id"
@@ -73,10 +71,8 @@ _RUN = f"SELECT doc_id, count(*) AS n_bytes, round(avg(CAST(score AS DOUBLE)), 6
 
 @query("e13_run_summary", lambda d: f"SELECT b.doc_id, 'mock' AS run_id, b.n_patches, b.mean_bpp, b.n_init, b.n_entropy, r.n_bytes, r.ent_mean, r.n_bytes // 512 AS n_chunk_edges, greatest(0, r.n_bytes - 511) AS n_truncated FROM ({_bpp(duck_patches())}) b JOIN ({_RUN}) r USING (doc_id)")
 def run_summary(spark, sf):
-    docs = frame(spark, sf, "documents")
-    stats = segment.patch_statistics(frame(spark, sf, "patches")).select("doc_id", "n_patches", "mean_bpp", "n_init", "n_entropy")
-    ent = segment.score_statistics(docs, TAU).select("doc_id", "n_bytes", "ent_mean")
-    out = stats.join(ent, "doc_id").select("doc_id", F.lit("mock").alias("run_id"), "n_patches", "mean_bpp", "n_init", "n_entropy", "n_bytes", "ent_mean", F.expr("n_bytes div 512").alias("n_chunk_edges"), F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - 511).alias("n_truncated"))
+    rows = segment.summaries(frame(spark, sf, "documents"), [TAU])
+    out = rows.select("doc_id", F.lit("mock").alias("run_id"), "n_patches", "mean_bpp", "n_init", "n_entropy", "n_bytes", "ent_mean", F.expr("n_bytes div 512").alias("n_chunk_edges"), F.greatest(F.lit(0).cast("long"), F.col("n_bytes") - 511).alias("n_truncated"))
     return _rounded(out)
 
 
@@ -165,7 +161,7 @@ def length_histogram(spark, sf):
 
 @query("e21_bpp_quartiles", lambda d: f"SELECT lang, round(quantile_cont(mean_bpp, 0.25), 6) AS q25, round(quantile_cont(mean_bpp, 0.5), 6) AS q50, round(quantile_cont(mean_bpp, 0.75), 6) AS q75, count(*) AS n FROM ({_bpp(duck_patches())}) JOIN documents USING (doc_id) GROUP BY lang")
 def bpp_quartiles(spark, sf):
-    stats = segment.patch_statistics(frame(spark, sf, "patches")).select("doc_id", F.round("mean_bpp", 6).alias("mean_bpp"))
+    stats = segment.summaries(frame(spark, sf, "documents"), [TAU]).select("doc_id", F.round("mean_bpp", 6).alias("mean_bpp"))
     rows = stats.join(frame(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     q = [F.round(F.percentile("mean_bpp", p), 6).alias(f"q{round(100 * p)}") for p in (0.25, 0.5, 0.75)]
     return rows.groupBy("lang").agg(*q, F.count("*").alias("n"))
@@ -194,16 +190,73 @@ def char_to_byte(spark, sf):
     return rows.select("doc_id", F.size("c").cast("long").alias("n_chars"), total.alias("n_bytes"), F.expr("CAST(size(filter(c, x -> octet_length(x) > 1)) AS BIGINT)").alias("n_multi"))
 
 
+_DUCK_CHARS = """SELECT doc_id, c, i, CAST(coalesce(sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte FROM
+  (SELECT doc_id, unnest(m) AS c, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS m FROM documents))"""
+
+
+@query("hs6_char_to_byte_map", lambda d: f"SELECT doc_id, i AS char_offset, byte AS byte_offset FROM ({_DUCK_CHARS}) WHERE i % 7 = 3")
+def char_to_byte_map(spark, sf):
+    """The map itself, of which every seventh character is shown."""
+    rows = offsets.char_to_byte(frame(spark, sf, "documents").where("text IS NOT NULL"))
+    return rows.select("doc_id", F.expr("posexplode(slice(bytes, 1, size(bytes) - 1))").alias("char_offset", "byte_offset")).where("char_offset % 7 = 3").withColumn("char_offset", F.col("char_offset").cast("long"))
+
+
+@query("hs7_byte_to_char_map", lambda d: f"SELECT doc_id, byte AS byte_offset, i AS char_offset FROM ({_DUCK_CHARS}) WHERE octet_length(encode(c)) > 1")
+def byte_to_char_map(spark, sf):
+    """Where characters of several bytes start: the byte behind is inside of one."""
+    rows = offsets.byte_to_char(frame(spark, sf, "documents").where("text IS NOT NULL"))
+    some = F.expr("filter(transform(chars, (x, i) -> struct(CAST(i AS BIGINT) AS byte_offset, x AS char_offset, coalesce(get(chars, i + 1), 0) AS after)), p -> p.char_offset >= 0 AND p.after < 0)")
+    return rows.select("doc_id", F.explode(some).alias("p")).select("doc_id", "p.byte_offset", "p.char_offset")
+
+
+@query("hs8_converted_offsets", lambda d: f"""SELECT t.doc_id, t.off, CASE WHEN t.off > n THEN 'outside' WHEN t.off < n AND m.i IS NULL THEN 'inside_character' END AS problem, CASE WHEN t.off = n THEN k ELSE m.i END AS converted
+  FROM (SELECT doc_id, unnest([0, 5, 90, 1000000]) AS off, octet_length(encode(text)) AS n, length(text) AS k FROM documents WHERE text IS NOT NULL) t LEFT JOIN ({_DUCK_CHARS}) m ON m.doc_id = t.doc_id AND m.byte = t.off""")
+def converted_offsets(spark, sf):
+    """Byte offsets to characters, with what is wrong with those that have none."""
+    docs = frame(spark, sf, "documents").where("text IS NOT NULL")
+    wanted = docs.select("doc_id", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 5, 90, 1000000)))).alias("off"))
+    return offsets.converted(wanted, offsets.byte_to_char(docs), "doc_id", "off", "chars").select("doc_id", "off", "problem", "converted")
+
+
+@query("hs9_char_boundary", lambda d: "SELECT doc_id, off, off <= len(h) AND (off = len(h) OR h[off + 1] < '80' OR h[off + 1] >= 'C0') AS at_edge FROM (SELECT doc_id, h, unnest([0, 7, 90, 1000000]) AS off FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text IS NOT NULL))")
+def char_boundary(spark, sf):
+    docs = frame(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 7, 90, 1000000)))).alias("off"))
+    return docs.select("doc_id", "off", offsets.is_char_boundary("text", "off").alias("at_edge"))
+
+
+@query("hs13_byte_scores", lambda d: "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id, value, lead(i) OVER (PARTITION BY user_id ORDER BY i) AS later FROM " + d.t("series") + ") WHERE later IS NOT NULL GROUP BY user_id")
+def byte_scores(spark, sf):
+    """Each user's values as scores of tokens: the last one, about no byte, goes."""
+    rows = _value_lists(spark, sf).select("user_id", offsets.byte_scores("v").alias("s")).where("size(s) > 0")
+    return rows.select("user_id", F.size("s").cast("long").alias("n"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def _value_lists(spark, sf):
+    return frame(spark, sf, "series").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
+
+
+@query("hs14_token_patch_starts", lambda d: f"SELECT file_id, CAST(end_byte - 1 AS BIGINT) AS start FROM {d.t('tiles')} WHERE pos < n_patches AND end_byte >= 1 AND end_byte - 1 < n_bytes - 1")
+def token_patch_starts(spark, sf):
+    """Patch lengths in tokens, the start token among them, as byte starts."""
+    rows = frame(spark, sf, "tiles").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "len"))), lambda x: x["len"]).alias("lens"), (F.max("n_bytes") - 1).alias("n"))
+    return rows.select("file_id", F.explode(offsets.patch_byte_starts("lens", "n")).alias("start"))
+
+
+@query("hs15_start_ids", lambda d: f"SELECT user_id, unnest([0, 1]) AS start FROM (SELECT DISTINCT user_id FROM {d.t('series')}) UNION ALL SELECT user_id, i + 1 FROM {d.t('series')} WHERE i >= 1 AND value > 60.0")
+def start_ids(spark, sf):
+    return _value_lists(spark, sf).select("user_id", F.explode(offsets.start_ids("v", 60.0).cast("array<bigint>")).alias("start"))
+
+
 @query("hs5_char_start_mask", lambda d: "SELECT doc_id, len(list_filter(h, lambda x: x < '80' OR x >= 'C0')) AS n_starts, len(h) AS n_bytes FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)")
 def char_start_mask(spark, sf):
-    rows = frame(spark, sf, "documents").select("doc_id", F.expr(B.byte_chars("text")).alias("c"))
-    return rows.select("doc_id", F.expr("CAST(size(filter(c, x -> x <> '' AND (ascii(x) & 192) <> 128)) AS BIGINT)").alias("n_starts"), F.expr("CAST(size(filter(c, x -> x <> '')) AS BIGINT)").alias("n_bytes"))
+    docs = frame(spark, sf, "documents")
+    return docs.select("doc_id", F.char_length("text").cast("long").alias("n_starts"), B.byte_length(F.col("text")).alias("n_bytes"))
 
 
 @query("hs12_token_ids", lambda d: "SELECT doc_id, len(h) + 1 AS n_tokens, CAST(coalesce(list_sum(list_transform(h, lambda x: CAST('0x' || x AS BIGINT) + 4)), 0) + 1 AS BIGINT) AS total FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)")
 def token_ids(spark, sf):
     """A start token 1, then every byte plus 4."""
-    rows = frame(spark, sf, "documents").select("doc_id", F.expr(f"concat(array(1), transform(filter({B.byte_chars('text')}, x -> x <> ''), x -> ascii(x) + 4))").alias("ids"))
+    rows = offsets.token_ids(frame(spark, sf, "documents"))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.expr("aggregate(ids, 0L, (a, x) -> a + x)").alias("total"))
 
 
