@@ -19,7 +19,9 @@ from spanalign.llm.common import table
 # Element names of HTML by what they do to the tree and the layout.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe noembed noframes xmp template".split())
-HIDDEN = set("head script style title noscript iframe noembed noframes template datalist object audio video canvas svg math map area".split())
+HIDDEN = set("head script style title noscript iframe noembed noframes template datalist object audio video canvas map area annotation annotation-xml".split())
+# Parts of a drawing that hold text, and those that describe it.
+DRAWN, DESCRIBED = set("text foreignobject".split()), set("title desc metadata defs symbol".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li legend main menu nav ol p pre section summary table ul tr td th thead tbody tfoot caption option optgroup select search textarea".split())
 MARGIN = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset menu dir".split())
 ENDS_P = BLOCKS - set("body html option optgroup select td th tr thead tbody tfoot caption legend textarea".split())
@@ -46,6 +48,9 @@ _VALUE = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+("[^"]*+"|'[^']*+'|[^ \t\n\r\f>]*+)"""
 _NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
 _ATTRS = rf"(?:[ \t\n\r\f/]++|{_NAME}(?:{_VALUE.replace('("', '(?:"')})?+)*+"
 _TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^ \t\n\r\f/>]*+){_ATTRS}>?|<([a-zA-Z][^ \t\n\r\f/>]*+)({_ATTRS})>", re.S)
+# For the rest of a page once a tag has run to its end inside of its quotes: a tag ends at its first '>'.
+_PLAIN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^ \t\n\r\f/>]*+)[^>]*+>?|<([a-zA-Z][^ \t\n\r\f/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_START = re.compile(r"<(?=[a-zA-Z/!?])")
 _ATTR = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -66,7 +71,7 @@ def tree(page: str) -> Element:
     root = Element("html")
     open_ = [root]
     places: dict[str, list[int]] = {}  # where in open_ the elements of a tag are
-    at = 0
+    at, token = 0, _TOKEN
 
     def opened(e: Element) -> None:
         places.setdefault(e.tag, []).append(len(open_))
@@ -84,8 +89,22 @@ def tree(page: str) -> Element:
             while len(open_) > k:
                 ended()
 
+    def next_tag():
+        """The next tag: one that has no end costs one look at the rest of the page, not one for each tag behind it."""
+        nonlocal token
+        begin = _START.search(page, at)
+        while begin is not None:
+            m = token.match(page, begin.start())
+            if m is None and token is _TOKEN:
+                token = _PLAIN
+                m = token.match(page, begin.start())
+            if m is not None:
+                return m
+            begin = _START.search(page, begin.end())
+        return None
+
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = next_tag()
         if m is None:
             open_[-1].children.append(entities.unescape(page[at:]))
             break
@@ -132,7 +151,7 @@ def tree(page: str) -> Element:
 
 def visible(e: Element) -> bool:
     """Whether a browser that runs no style sheet would show the element."""
-    if e.tag in HIDDEN or "hidden" in e.attrs or e.tag == "input" and e.attrs.get("type", "").lower() == "hidden":
+    if e.tag in HIDDEN or "hidden" in e.attrs or e.tag == "dialog" and "open" not in e.attrs or e.tag == "input" and e.attrs.get("type", "").lower() == "hidden":
         return False
     return not ("style" in e.attrs and _NONE.search(entities.unescape(e.attrs["style"])))
 
@@ -212,10 +231,14 @@ def _into(e: Element, out: _Lines, pre: bool, number: list[int]):
         elif c.tag == "table":
             out.flush()
             out.put((yield _table(c)), True)
+        elif c.tag == "svg":
+            for drawn in _drawn(c):
+                out.text.append(" ")
+                yield _into(drawn, out, pre, number)
+                out.text.append(" ")
         elif c.tag in ("ul", "ol", "menu", "dir"):
             out.flush()
-            start = c.attrs.get("start", "1")
-            count = [int(start) - 1 if re.fullmatch(r"-?\d{1,9}", start) else 0] if c.tag == "ol" else [None]
+            count = _counter(c) if c.tag == "ol" else [None]
             inner = _Lines()
             yield _into(c, inner, pre, count)
             inner.flush()
@@ -224,7 +247,8 @@ def _into(e: Element, out: _Lines, pre: bool, number: list[int]):
             out.flush()
             mark = "* "
             if number[0] is not None and e.tag == "ol":
-                number[0] += 1
+                step = number[1] if len(number) > 1 else 1
+                number[0] = int(c.attrs["value"]) if _NUMBER.fullmatch(c.attrs.get("value", "")) else number[0] + step
                 mark = f"{number[0]}. "
             lines = yield _block(c, pre)
             out.put([(mark if k == 0 else " " * len(mark)) + x if x or k == 0 else "" for k, x in enumerate(lines)], False)
@@ -242,6 +266,33 @@ def _into(e: Element, out: _Lines, pre: bool, number: list[int]):
             yield _into(c, out, pre, number)
 
 
+_NUMBER = re.compile(r"-?\d{1,9}")
+
+
+def _counter(e: Element) -> list[int]:
+    """The number before an ordered list's first, and the step."""
+    items = sum(isinstance(c, Element) and c.tag == "li" and visible(c) for c in e.children)
+    step = -1 if "reversed" in e.attrs else 1
+    start = e.attrs.get("start", "")
+    return [(int(start) if _NUMBER.fullmatch(start) else items if step < 0 else 1) - step, step]
+
+
+def _drawn(e: Element):
+    """The elements of a drawing that show text."""
+    waiting = [iter(e.children)]
+    while waiting:
+        for c in waiting[-1]:
+            if isinstance(c, str) or not visible(c) or c.tag in DESCRIBED:
+                continue
+            if c.tag in DRAWN:
+                yield c
+            else:
+                waiting.append(iter(c.children))
+                break
+        else:
+            waiting.pop()
+
+
 def _rows(e: Element, outside: list):
     inside = [iter(e.children)]
     while inside:
@@ -271,8 +322,11 @@ def _table(e: Element):
         holder.children = outside
         out = yield _block(holder)
     grid, widths = [], {}
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still stands in
     for row in rows:
         cells, col = [], 0
+        held = {c for c, n in taken.items() if n > 0}
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in row:
             if isinstance(cell, str) or cell.tag not in ("td", "th"):
                 holder = Element("td")
@@ -280,18 +334,27 @@ def _table(e: Element):
                 cell = holder
             span = cell.attrs.get("colspan", "1")
             span = min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
+            down = cell.attrs.get("rowspan", "1")
+            down = min(int(down) or len(rows), len(rows)) if re.fullmatch(r"\d{1,5}", down) else 1
+            while col in held:
+                col += 1
             lines = yield _block(cell)
             cells.append((col, span, lines))
+            if down > 1:
+                taken |= {c: max(down - 1, taken.get(c, 0)) for c in range(col, col + span)}
             if span == 1:
                 widths[col] = max([widths.get(col, 0), *map(len, lines)])
             col += span
         grid.append(cells)
+    begins = [0]  # where each column begins
+    for c in range(max((col + span for cells in grid for col, span, _ in cells), default=0)):
+        begins.append(begins[-1] + widths.get(c, 0) + 2)
     for cells in grid:
         for k in range(max((len(x) for _, _, x in cells), default=0)):
             line, at = "", 0
             for col, span, lines in cells:
-                line += " " * (at - len(line)) + (lines[k] if k < len(lines) else "")
-                at = max(len(line) + 2 if line.strip() else 0, sum(widths.get(c, 0) + 2 for c in range(col + span)))
+                line += " " * (max(at, begins[col]) - len(line)) + (lines[k] if k < len(lines) else "")
+                at = max(len(line) + 2 if line.strip() else 0, begins[col + span])
             out.append(line.rstrip())
     return out
 
@@ -303,7 +366,7 @@ def extract(page: str | None) -> str:
 
 def texts(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, text and n_chars of every row, repeated rows and null keys each; other columns are left
-    out. A page is rendered by itself: tasks hold a page at a time."""
+    out. No rows: no rows. A page is rendered by itself: tasks hold a page at a time."""
     src = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
 
     def run(batches):

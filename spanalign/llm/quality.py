@@ -114,11 +114,20 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with all their columns."""
+    """The rows of ``docs`` that judge() keeps, with all their columns.
+
+    Null text goes, as too short; null keys and repeated rows are judged each; a null host is a host;
+    no documents: no rows. Texts are measured once and written with their measures; only rows that
+    fail a host's rule, and no base rule, meet the hosts.
+    """
     work = Workspace(docs.sparkSession)
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(host).alias("host"), F.col(text).alias("whole_text"))
-    rows = whole.select("doc", "host", measures("whole_text").alias("q")).select("doc", "host", "q.*")
-    return _judged(rows, host_verdicts(rows, work), "host").where("kept").select("doc.*")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col(host).alias("host"), measures(text).alias("q"))
+    rows = work.keep(whole.select("doc", "host", "q.*"))
+    verdicts = host_verdicts(rows, work)
+    base, other = (" OR ".join(f"({r})" for k, r in RULES.items() if (k in BASE) == of) for of in (True, False))
+    clear = rows.where(f"NOT ({base}) AND NOT ({other})").select("doc.*")
+    doubtful = _judged(rows.where(f"NOT ({base}) AND ({other})"), verdicts, "host").where("kept").select("doc.*")
+    return clear.unionAll(doubtful)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

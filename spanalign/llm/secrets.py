@@ -9,7 +9,7 @@ live-looking generic tokens outside of them are added.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanalign.llm.common import Workspace, table
@@ -28,6 +28,10 @@ KINDS = {
     "live": (r"[A-Za-z0-9_+/-]{20,}", 0, 20),
 }
 ORDER = list(KINDS)
+#: Matches of one text whose places are summed together.
+CHUNK = 128
+#: Parts into which the places of one value are dealt.
+SALT = 64
 SPAN = "struct<k:int,s:int,e:int,h:bigint>"
 
 
@@ -44,13 +48,17 @@ def _spans(kind: str) -> str:
     pattern, group, least = KINDS[kind]
     p = _quoted(pattern)
     looks = "" if kind != "live" else " AND x.v RLIKE '[0-9]' AND x.v RLIKE '[A-Z]' AND x.v RLIKE '[a-z]'"
-    return f"""IF(t RLIKE {p}, filter(aggregate(
-      zip_with(zip_with(split(t, {p}), regexp_extract_all(t, {p}, 0), (a, m) -> struct(a AS a, m AS m)),
-               regexp_extract_all(t, {p}, {group}), (x, v) -> struct(length(x.a) AS a, length(x.m) AS m, v AS v)),
-      struct(0 AS at, CAST(array() AS array<{SPAN}>) AS out),
+    none = f"CAST(array() AS array<{SPAN}>)"
+    parts = f"""zip_with(zip_with(split(t, {p}), regexp_extract_all(t, {p}, 0), (a, m) -> struct(a AS a, m AS m)),
+      regexp_extract_all(t, {p}, {group}), (x, v) -> struct(length(x.a) AS a, length(x.m) AS m, v AS v))"""
+    # an array that grows is copied each time: places are summed by chunks of matches, and from chunk to chunk
+    chunks = f"transform(array({parts}), z -> transform(sequence(0, (size(z) - 1) div {CHUNK}), c -> slice(z, c * {CHUNK} + 1, {CHUNK})))[0]"
+    begins = "aggregate(y, struct(0 AS at, CAST(array() AS array<int>) AS out), (acc, c) -> struct(aggregate(c, acc.at, (s, x) -> s + x.a + coalesce(x.m, 0)) AS at, array_append(acc.out, acc.at) AS out), acc -> acc.out)"
+    inner = f"""aggregate(c, struct(o AS at, {none} AS out),
       (acc, x) -> struct(acc.at + x.a + coalesce(x.m, 0) AS at, IF(x.m IS NULL OR length(x.v) < {least}{_not(looks)}, acc.out,
         array_append(acc.out, struct({ORDER.index(kind)} AS k, acc.at + x.a AS s, acc.at + x.a + x.m AS e, xxhash64(x.v) AS h))) AS out),
-      acc -> acc.out), x -> true), CAST(array() AS array<{SPAN}>))"""
+      acc -> acc.out)"""
+    return f"IF(t RLIKE {p}, transform(array({chunks}), y -> flatten(zip_with(y, {begins}, (c, o) -> {inner})))[0], {none})"
 
 
 def _not(looks: str) -> str:
@@ -92,19 +100,28 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", owner: str
     found = work.keep(find(rows, "scanned").drop("scanned").withColumn("row", F.monotonically_increasing_id()))
     each = found.where(F.size("base") + F.size("other") > 0)
     values = each.select("row", "owner", "repo", F.explode(F.concat("base", "other")).alias("x")).select("row", "owner", "repo", "x", F.col("x.h").alias("h"))
+    values = values.withColumn("salt", F.pmod("row", F.lit(SALT)))
     held = owners(values.select("h", "owner", "repo")).select("h", ((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).alias("live"))
-    judged = values.select("row", "x", "h").join(held, "h")
+    # a value that a third of all texts hold meets its verdict in SALT parts
+    salts = values.groupBy("h", "salt").agg(F.lit(1).alias("one")).groupBy("h").agg(F.collect_list("salt").alias("salts"))
+    held = held.join(salts, "h").select("h", "live", F.explode("salts").alias("salt"))
+    judged = values.join(held, ["h", "salt"]).select("row", "x", "live", (F.col("x.k") < 3).alias("is_base"))
+    # a generic token is clear of base spans if none ends behind its start, or starts before its end
+    ahead = Window.partitionBy("row").orderBy("x.s", "x.k").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("row").orderBy(F.desc("x.s"), F.desc("x.k")).rowsBetween(Window.unboundedPreceding, -1)
+    judged = judged.withColumn("ended", F.max(F.when(F.col("is_base"), F.col("x.e"))).over(ahead)).withColumn("begun", F.min(F.when(F.col("is_base"), F.col("x.s"))).over(behind))
+    clear = ~F.col("is_base") & F.col("live") & (F.coalesce("ended", F.lit(0)) <= F.col("x.s")) & F.coalesce(F.col("begun") >= F.col("x.e"), F.lit(True))
     of_row = judged.groupBy("row").agg(
-        F.collect_list(F.when(F.col("live") & (F.col("x.k") == 3), F.col("x"))).alias("added"),
-        F.count_if(F.col("live") & (F.col("x.k") < 3)).alias("n_live"),
-        F.count_if(~F.col("live") & (F.col("x.k") < 3)).alias("n_copied"),
+        F.collect_list(F.when(clear, F.col("x"))).alias("added"),
+        F.count_if(F.col("live") & F.col("is_base")).alias("n_live"),
+        F.count_if(~F.col("live") & F.col("is_base")).alias("n_copied"),
     )
     order = "(a, b) -> CASE WHEN a.s < b.s THEN -1 WHEN a.s > b.s THEN 1 WHEN a.k < b.k THEN -1 WHEN a.k > b.k THEN 1 ELSE 0 END"
     joined = found.join(of_row, "row", "left").withColumn("base", F.expr(f"array_sort(base, {order})"))
-    clear = "filter(coalesce(added, CAST(array() AS array<" + SPAN + ">)), x -> NOT exists(base, b -> b.s < x.e AND x.s < b.e))"
+    added = f"coalesce(added, CAST(array() AS array<{SPAN}>))"
     return joined.select(
         F.col("key").alias(key), *(F.col(f"carry_{c}").alias(c) for c in carry), "base",
-        F.expr(f"array_sort(concat(base, {clear}), {order})").alias("spans"),
+        F.expr(f"array_sort(concat(base, {added}), {order})").alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
     )
 
