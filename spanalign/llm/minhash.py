@@ -5,7 +5,8 @@
    coordinates must share a posting among each one's rarest K - MATCHES + 1, so only those are
    merged (prefix); longer lists are skipped and their collisions counted from the signatures.
 3. Pairs with MATCHES collisions or more span clusters; within a list only as many of its pairs are
-   emitted as connect it.
+   emitted as connect it. A list of more than LIST_ROWS classes connects all of them, uncounted: a
+   superset of its pairs, which the next step takes apart again.
 4. Inside each cluster links are confirmed on the full sets. The search goes outwards from one
    member and leaves out members that are connected already, so a group of copies costs one pass.
    Clusters too large for one task are confirmed in blocks, against one member first and then, for
@@ -164,13 +165,12 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     are linked, repeated rows included; a null key takes part but names no component, so one that
     is linked with null keys only has null. Other columns are left out. No documents: no rows.
     """
-    out = _groups(docs, key, text)
+    out = _groups(docs, key, text, Workspace(docs.sparkSession))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id")
 
 
-def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _groups(docs: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
     """id, th (hash of the text), n_shingles and component_id of every row."""
-    work = Workspace(docs.sparkSession)
     src = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     signed = work.keep(src.mapInArrow(sign, SIGNED))
 
@@ -253,7 +253,9 @@ def first_of_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     rows of null keys that are linked with null keys only stay.
     """
     work = Workspace(docs.sparkSession)
-    found = work.keep(_groups(docs, key, text))
+    steps = Workspace(docs.sparkSession)
+    found = work.keep(_groups(docs, key, text, steps))
+    steps.clear()
     dropped = F.col("id").isNull() & F.col("component_id").isNotNull() | (F.col("id") != F.col("component_id"))
     gone = found.where(dropped).select(F.col("id").alias("gone_id__"), F.col("th").alias("gone_th__")).distinct()
     left = docs.join(gone.hint("merge"), docs[key].eqNullSafe(F.col("gone_id__")) & (F.xxhash64(docs[text]) == F.col("gone_th__")), "left_anti")
