@@ -6,13 +6,16 @@ set of files (orders) that are tiled by patches (lines) of l_quantity bytes, wit
 
 from __future__ import annotations
 
-from spanalign.functions.bytesops import HIGH, LOW, MODULUS, STEP, pieces
+from pyspark.sql import functions as F
+
+from spanalign.functions.bytesops import HIGH, LOW, MODULUS, SEPARATORS, STEP, pieces
+from spanalign.operators.resample import drawn
 from spanalign.operators.segment import patches
 
 #: Exactly a float32, as scores are.
 TAU = 1.3354420661926270
 WORD, LINE, SENTENCE = "[A-Za-z0-9_]+", r"[^\n]+", r"[^\n.]+[.]?"
-SEP_HEX = ", ".join(f"'{ord(c):02X}'" for c in " \n\t()[]{};,.:=")
+SEP_HEX = ", ".join(f"'{ord(c):02X}'" for c in SEPARATORS)
 
 
 def _docs(spark, sf_dir):
@@ -113,7 +116,7 @@ def _ordered_events(d):
 
 
 def _words(d):
-    return f"SELECT doc_id, start_byte, end_byte, piece FROM ({duck_pieces(WORD)})"
+    return duck_pieces(WORD)
 
 
 SQL = {
@@ -127,6 +130,7 @@ SQL = {
     "null_ends": _null_ends,
     "null_counts": _null_counts,
     "boot": _boot,
+    "boot_other": lambda d: _boot(d, seed=8),
     "manifest": _manifest,
     "series": _ordered_events,
     "words": _words,
@@ -139,10 +143,17 @@ SQL = {
 }
 
 
+def _files_of(spark, sf_dir):
+    """Files are the orders that have lines."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("file_id")).distinct()
+
+
 #: Bindings that Spark builds with operators rather than from the text above.
 FRAMES = {
     "words": lambda spark, sf: pieces(_docs(spark, sf), WORD),
     "lines": lambda spark, sf: pieces(_docs(spark, sf), LINE),
     "sentences": lambda spark, sf: pieces(_docs(spark, sf), SENTENCE),
     "patches": lambda spark, sf: patches(_docs(spark, sf), TAU),
+    "boot": lambda spark, sf: drawn(_files_of(spark, sf), 20, 7, "file_id"),
+    "boot_other": lambda spark, sf: drawn(_files_of(spark, sf), 20, 8, "file_id"),
 }

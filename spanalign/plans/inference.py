@@ -97,10 +97,12 @@ def _(d):
 
 
 @shared("i15_median_difference")
-def _(d, reps=10):
-    wide = f"SELECT b.rep, f.language, f.n_bytes FROM {d.t('boot')} b JOIN {d.t('files')} f ON b.file_id = f.file_id WHERE b.rep < {reps}"
-    return f"""SELECT rep, round(max(CASE WHEN language = 'F' THEN m END) - max(CASE WHEN language = 'O' THEN m END), 6) AS diff FROM
-      (SELECT rep, language, CAST({d.pct('n_bytes', 0.5)} AS DOUBLE) AS m FROM ({wide}) w GROUP BY rep, language) q GROUP BY rep"""
+def _(d):
+    """Medians of two groups, each under resamples of its own."""
+    def median(boot, language):
+        return f"(SELECT b.rep, CAST({d.pct('f.n_bytes', 0.5)} AS DOUBLE) AS m FROM {d.t(boot)} b JOIN {d.t('files')} f ON b.file_id = f.file_id WHERE f.language = '{language}' GROUP BY b.rep)"
+
+    return f"SELECT x.rep, round(x.m - y.m, 6) AS diff FROM {median('boot', 'F')} x JOIN {median('boot_other', 'O')} y ON x.rep = y.rep"
 
 
 @shared("i16_paired_randomisation")
@@ -131,8 +133,11 @@ def _(d, reps=20):
 @shared("i19_unpaired_difference")
 def _(d):
     f1 = d.ratio("2 * tp", "(2 * tp + fp + fn)")
-    one = f"SELECT b.rep, p.language, CAST(sum(b.weight * p.tp) AS BIGINT) AS tp, CAST(sum(b.weight * p.fp) AS BIGINT) AS fp, CAST(sum(b.weight * p.fn) AS BIGINT) AS fn FROM {d.t('boot')} b JOIN {d.t('per_file')} p ON p.file_id = b.file_id GROUP BY b.rep, p.language"
-    return f"SELECT x.rep, round(x.f1 - y.f1, 9) AS diff FROM (SELECT rep, {f1} AS f1 FROM ({one}) a WHERE language = 'F') x JOIN (SELECT rep, {f1} AS f1 FROM ({one}) b WHERE language = 'O') y ON x.rep = y.rep"
+    def one(boot, language):
+        sums = ", ".join(f"CAST(sum(b.weight * p.{c}) AS BIGINT) AS {c}" for c in ("tp", "fp", "fn"))
+        return f"(SELECT rep, {f1} AS f1 FROM (SELECT b.rep, {sums} FROM {d.t(boot)} b JOIN {d.t('per_file')} p ON p.file_id = b.file_id WHERE p.language = '{language}' GROUP BY b.rep) q)"
+
+    return f"SELECT x.rep, round(x.f1 - y.f1, 9) AS diff FROM {one('boot', 'F')} x JOIN {one('boot_other', 'O')} y ON x.rep = y.rep"
 
 
 @shared("i20_paired_margin")

@@ -36,6 +36,9 @@ class Dialect:
     def hash32(self, x):
         return f"CAST(conv(substr({x}, 1, 8), 16, 10) AS BIGINT)"
 
+    def hash60(self, x):
+        return f"CAST(conv(substr({x}, 1, 15), 16, 10) AS BIGINT)"
+
     def size(self, x):
         return f"CAST(octet_length({x}) AS BIGINT)"
 
@@ -95,6 +98,9 @@ class Duck(Dialect):
     def hash32(self, x):
         return f"CAST('0x' || substr({x}, 1, 8) AS BIGINT)"
 
+    def hash60(self, x):
+        return f"CAST('0x' || substr({x}, 1, 15) AS BIGINT)"
+
     def size(self, x):
         return f"CAST(octet_length(encode({x})) AS BIGINT)"
 

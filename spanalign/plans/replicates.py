@@ -37,6 +37,7 @@ bindings.FRAMES |= {
     "null_sums_full": lambda spark, sf: resample.replicate_sums(_files(spark, sf), REPS, 20260927, "hits"),
     "null_means_full": lambda spark, sf: resample.replicate_sums(_files(spark, sf), REPS, 20260927, "file"),
     "boot_full": lambda spark, sf: resample.drawn(frame(spark, sf, "files"), BOOT, 7, "file_id"),
+    "boot_other_full": lambda spark, sf: resample.drawn(frame(spark, sf, "files"), BOOT, 8, "file_id"),
 }
 
 
@@ -48,7 +49,7 @@ for _name in ("i7_permutation_summary", "i8_permutation_z", "i9_two_tails", "e39
     _register(_name, null_counts="null_sums_full")
 _register("i10_file_bootstrap", null_counts="null_means_full", boot="boot_full")
 _register("i13_baseline_difference", boot="boot_full")
-_register("i15_median_difference", lambda: {"reps": BOOT}, boot="boot_full")
+_register("i15_median_difference", boot="boot_full", boot_other="boot_other_full")
 _register("i16_paired_randomisation", lambda: {"reps": REPS})
 _register("i18_clustered_bootstrap", lambda: {"reps": BOOT})
 

@@ -20,10 +20,10 @@ def exact_match(spark, sf):
     return matching.exact_matches(frame(spark, sf, "predictions"), frame(spark, sf, "starts")).agg(F.count("*").alias("n"))
 
 
-def _greedy(k):
+def _greedy(k, targets="starts"):
     def make(d):
         return f"""WITH RECURSIVE p AS (SELECT file_id, off, row_number() OVER (PARTITION BY file_id ORDER BY off) AS i, count(*) OVER (PARTITION BY file_id) AS n FROM {d.t('predictions')}),
-          t AS (SELECT file_id, list(off ORDER BY off) AS t FROM {d.t('starts')} GROUP BY file_id),
+          t AS (SELECT file_id, list(off ORDER BY off) AS t FROM {d.t(targets)} GROUP BY file_id),
           pl AS (SELECT file_id, list(off ORDER BY off) AS p FROM {d.t('predictions')} GROUP BY file_id),
           b AS (SELECT file_id, coalesce(p, []) AS p, coalesce(t, []) AS t FROM pl FULL JOIN t USING (file_id)),
           g AS (SELECT file_id, p, t, 1 AS i, -1::BIGINT AS last, 0::BIGINT AS tp FROM b
@@ -41,10 +41,16 @@ def one_to_one_match(spark, sf):
     return out.select("file_id", "tp", F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"))
 
 
-@query("e1_counts_ends", _greedy(0))
-def counts_starts(spark, sf):
-    out = matching.counts_by_file(frame(spark, sf, "predictions"), frame(spark, sf, "starts"), 0)
-    return out.select("file_id", "tp", F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"))
+def _counts(targets):
+    def run(spark, sf):
+        out = matching.counts_by_file(frame(spark, sf, "predictions"), frame(spark, sf, targets), 0)
+        return out.select("file_id", "tp", F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"))
+
+    return run
+
+
+query("e1_counts_starts", _greedy(0))(_counts("starts"))
+query("e1_counts_ends", _greedy(0, "ends"))(_counts("ends"))
 
 
 def _any(side):
@@ -150,18 +156,24 @@ def _(d):
        UNION ALL SELECT file_id, start_byte, 1, NULL, node_id FROM {d.t('nodes')}) q) r WHERE node_id IS NOT NULL"""
 
 
+def _celled(d, table, columns, size=64):
+    """Rows of a table of spans, once for each cell of so many bytes that they reach into."""
+    return f"(SELECT {columns}, {d.series(d.int_div('start_byte', size), d.int_div('(end_byte - 1)', size))} AS cell FROM {table} c WHERE end_byte > start_byte)"
+
+
 @shared("dj18_best_iou")
 def _(d):
+    a, b = _celled(d, d.t("nodes"), "file_id, node_id, start_byte, end_byte"), _celled(d, d.t("tiles"), "file_id, start_byte, end_byte")
     return f"""SELECT n.file_id, n.node_id, round(max(CAST(least(n.end_byte, t.end_byte) - greatest(n.start_byte, t.start_byte) AS DOUBLE) / (greatest(n.end_byte, t.end_byte) - least(n.start_byte, t.start_byte))), 9) AS iou
-      FROM {d.t('nodes')} n JOIN {d.t('tiles')} t ON n.file_id = t.file_id AND greatest(n.start_byte, t.start_byte) < least(n.end_byte, t.end_byte) GROUP BY n.file_id, n.node_id"""
+      FROM {a} n JOIN {b} t ON n.file_id = t.file_id AND n.cell = t.cell AND greatest(n.start_byte, t.start_byte) < least(n.end_byte, t.end_byte) GROUP BY n.file_id, n.node_id"""
 
 
 @shared("e30_mean_iou")
 def _(d):
+    a, b = _celled(d, f"(SELECT DISTINCT file_id, language, start_byte, end_byte FROM {d.t('nodes')})", "file_id, language, start_byte, end_byte"), _celled(d, d.t("tiles"), "file_id, start_byte, end_byte")
     return f"""SELECT language, round(sum(iou) / count(*), 9) AS mean_iou, count(*) AS n_spans FROM (SELECT n.file_id, n.language, n.start_byte, n.end_byte,
         max(CAST(least(n.end_byte, t.end_byte) - greatest(n.start_byte, t.start_byte) AS DOUBLE) / (greatest(n.end_byte, t.end_byte) - least(n.start_byte, t.start_byte))) AS iou
-      FROM (SELECT DISTINCT file_id, language, start_byte, end_byte FROM {d.t('nodes')} WHERE end_byte > start_byte) n
-      JOIN {d.t('tiles')} t ON n.file_id = t.file_id AND greatest(n.start_byte, t.start_byte) < least(n.end_byte, t.end_byte) GROUP BY n.file_id, n.language, n.start_byte, n.end_byte) q GROUP BY language"""
+      FROM {a} n JOIN {b} t ON n.file_id = t.file_id AND n.cell = t.cell AND greatest(n.start_byte, t.start_byte) < least(n.end_byte, t.end_byte) GROUP BY n.file_id, n.language, n.start_byte, n.end_byte) q GROUP BY language"""
 
 
 @shared("g18_unique_spans")
@@ -266,15 +278,13 @@ def _(d):
     """Every file counts in every stratum of its language, targets there or not; the precision's
     denominator is all of a language's predictions."""
     s = "STRING" if d.spark else "VARCHAR"
-    hits = f"""SELECT t.file_id, x.axis, x.stratum, count(*) AS n, count(p.off) AS tp FROM {d.t('starts')} t
-        JOIN (SELECT 'global' AS axis, 'all' AS stratum, CAST(NULL AS {s}) AS v UNION ALL SELECT DISTINCT 'ast_depth', CAST(depth AS {s}), CAST(depth AS {s}) FROM {d.t('starts')} UNION ALL SELECT DISTINCT 'node_type', node_type, node_type FROM {d.t('starts')}) x
-          ON x.axis = 'global' OR x.axis = 'ast_depth' AND x.v = CAST(t.depth AS {s}) OR x.axis = 'node_type' AND x.v = t.node_type
-        LEFT JOIN {d.t('predictions')} p ON p.file_id = t.file_id AND p.off = t.off GROUP BY t.file_id, x.axis, x.stratum"""
+    marked = f"SELECT t.file_id, t.language, t.depth, t.node_type, CASE WHEN p.off IS NULL THEN 0 ELSE 1 END AS hit, {d.series(0, 2)} AS j FROM {d.t('starts')} t LEFT JOIN {d.t('predictions')} p ON p.file_id = t.file_id AND p.off = t.off"
+    axes = f"SELECT language, CASE j WHEN 0 THEN 'global' WHEN 1 THEN 'ast_depth' ELSE 'node_type' END AS axis, CASE j WHEN 0 THEN 'all' WHEN 1 THEN CAST(depth AS {s}) ELSE node_type END AS stratum, hit FROM ({marked}) m"
     return f"""SELECT axis, language, stratum, n_files, tp, fp, fn, {_metrics(d)} FROM (
-      SELECT s.axis, s.language, s.stratum, count(*) AS n_files, CAST(sum(coalesce(h.tp, 0)) AS BIGINT) AS tp, CAST(sum(coalesce(p.n, 0) - coalesce(h.tp, 0)) AS BIGINT) AS fp, CAST(sum(coalesce(h.n, 0) - coalesce(h.tp, 0)) AS BIGINT) AS fn
-      FROM {d.t('files')} f JOIN ({_strata(d)}) s ON s.language = f.language
-      LEFT JOIN ({hits}) h ON h.file_id = f.file_id AND h.axis = s.axis AND h.stratum = s.stratum
-      LEFT JOIN (SELECT file_id, count(*) AS n FROM {d.t('predictions')} GROUP BY file_id) p ON p.file_id = f.file_id GROUP BY s.axis, s.language, s.stratum) q"""
+      SELECT h.axis, h.language, h.stratum, f.n_files, h.tp, coalesce(p.n, 0) - h.tp AS fp, h.n - h.tp AS fn
+      FROM (SELECT axis, language, stratum, count(*) AS n, CAST(sum(hit) AS BIGINT) AS tp FROM ({axes}) x GROUP BY axis, language, stratum) h
+      JOIN (SELECT language, count(*) AS n_files FROM {d.t('files')} GROUP BY language) f ON f.language = h.language
+      LEFT JOIN (SELECT language, count(*) AS n FROM {d.t('predictions')} GROUP BY language) p ON p.language = h.language) q"""
 
 
 @shared("e8_exploratory_axes")
@@ -383,6 +393,32 @@ def _(d):
     return f"""SELECT language, n_bytes, round(CAST(n_bytes AS DOUBLE) / total, 9) AS share, round(CAST(1 AS DOUBLE) / n_bytes, 15) AS weight FROM (SELECT language, n_bytes, sum(n_bytes) OVER () AS total FROM (SELECT language, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM {d.t('manifest')} GROUP BY language) a) b"""
 
 
+@query("e37_record_digest", lambda d: "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_name\":\"' || c_name || '\"}') AS digest FROM customer")
+def record_digest(spark, sf):
+    from spanalign.functions import distributions
+
+    return frame(spark, sf, "customer").select("c_custkey", distributions.record_digest("c_name", "c_custkey", "c_mktsegment").alias("digest"))
+
+
+@query("hs31_divergence", lambda d: """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), z AS (SELECT vec_id, x, list_max(x) + ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) AS z FROM v),
+  q AS (SELECT vec_id, list_transform(x, lambda y: y - z) AS lq FROM z), p AS (SELECT vec_id, lq, len(lq) AS n FROM q)
+  SELECT vec_id, round(-list_sum(lq) / n, 9) AS cross_entropy, round(-ln(n) - list_sum(lq) / n, 9) AS divergence FROM p""")
+def divergence(spark, sf):
+    """Of the even distribution from a softmax of each vector."""
+    from spanalign.functions import distributions as D
+
+    rows = frame(spark, sf, "embeddings").select("vec_id", D.log_softmax("embedding").alias("q")).withColumn("p", F.transform("q", lambda x: F.lit(1.0) / F.size("q")))
+    return rows.select("vec_id", F.round(D.cross_entropy("p", "q"), 9).alias("cross_entropy"), F.round(D.divergence("p", "q"), 9).alias("divergence"))
+
+
+@query("hs35_same_bits", lambda d: "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_totalprice = round(o_totalprice, 1)) AS n_same FROM orders GROUP BY o_orderstatus")
+def same_bits(spark, sf):
+    from spanalign.functions import distributions as D
+
+    rows = frame(spark, sf, "orders").withColumn("r", F.round("o_totalprice", 1).cast("double")).withColumn("v", F.col("o_totalprice").cast("double"))
+    return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(D.same_bits("v", "r")).alias("n_same"))
+
+
 # -- attribution -----------------------------------------------------------------------------------
 
 

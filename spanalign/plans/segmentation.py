@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanalign.functions import bytesops as B
-from spanalign.operators import baselines, offsets, segment
+from spanalign.operators import baselines, lexer, offsets, segment
 from spanalign.plans.bindings import TAU, duck_patches, duck_scores
 from spanalign.plans.registry import frame, query, shared
 
@@ -287,7 +287,12 @@ def show_patches(spark, sf):
 
 @shared("hs22_heading_level")
 def _(d):
-    return f"""SELECT doc_id, idx, length({d.extract("piece", "^(=*)", 1)}) AS level_marks, length({d.extract("piece", "^([|#* ]*)", 1)}) AS lead_marks FROM {d.t('lines')}"""
+    """A level is one '= ' before and one ' =' behind the title; each takes four characters."""
+    made = f"SELECT doc_id, idx, CASE idx % 3 WHEN 1 THEN concat(' = ', piece, ' =') WHEN 2 THEN concat('= = ', piece, ' = = ') ELSE piece END AS line FROM {d.t('lines')}"
+    bare = d.replace("line", "^[ \\t\\r]+|[ \\t\\r]+$", "")
+    level = f"least({d.int_div('length(' + d.extract('s', '^((= )*)', 1) + ')', 2)}, {d.int_div('length(' + d.extract('s', '(( =)*)$', 1) + ')', 2)}, {d.int_div('length(s)', 4)})"
+    return f"""SELECT doc_id, idx, CASE WHEN level > 0 THEN CAST(level AS BIGINT) END AS level, CASE WHEN level > 0 THEN trim(substr(s, CAST(2 * level + 1 AS INT), CAST(length(s) - 4 * level AS INT))) END AS title
+      FROM (SELECT doc_id, idx, s, {level} AS level FROM (SELECT doc_id, idx, {bare} AS s FROM ({made}) m) x) y"""
 
 
 @shared("hs20_opener_token")
@@ -307,8 +312,14 @@ def _(d):
 
 @shared("hs17_invert_case")
 def _(d):
+    """snake_case to camelCase and back; other names have no image."""
     snake = d.replace("piece", "([A-Z])", "_$1" if d.spark else "_\\1")
-    return f"""SELECT piece, min(lower({snake})) AS snake, count(*) AS n FROM {d.t('words')} WHERE {d.matches('piece', '^[a-z]+([A-Z][a-z0-9]*)+$')} OR {d.matches('piece', '^[a-z]+(_[a-z0-9]+)+$')} GROUP BY piece"""
+    parts = "transform(slice(split(piece, '_'), 2, 1000000), x -> concat(upper(substr(x, 1, 1)), substr(x, 2)))" if d.spark else "list_transform(string_split(piece, '_')[2:], lambda x: upper(substr(x, 1, 1)) || substr(x, 2))"
+    head = "split(piece, '_')[0]" if d.spark else "string_split(piece, '_')[1]"
+    camel = f"concat({head}, {'array_join' if d.spark else 'array_to_string'}({parts}, ''))"
+    made = f"SELECT CASE idx % 3 WHEN 1 THEN concat('a1_', lower(piece), '_b') WHEN 2 THEN concat('ab', piece) ELSE piece END AS piece FROM {d.t('words')}"
+    return f"""SELECT piece, CASE WHEN {d.matches('piece', '^[a-z][a-z0-9]*(_[a-z0-9]+)+$')} THEN {camel} WHEN {d.matches('piece', '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$')} THEN lower({snake}) END AS inverted, n
+      FROM (SELECT piece, count(*) AS n FROM ({made}) m GROUP BY piece) q"""
 
 
 @shared("hs27_normalised_lines")
@@ -323,13 +334,21 @@ def _(d):
       (SELECT lang, source, count(*) AS c FROM {d.t('documents')} GROUP BY lang, source) a) b GROUP BY lang"""
 
 
-@query("hs24_lexer", lambda d: "SELECT kind, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS n_chars FROM (SELECT tok, CASE WHEN regexp_matches(tok, '^[0-9]') THEN 'number' WHEN regexp_matches(tok, '^[A-Za-z_]') THEN 'name' WHEN regexp_matches(tok, '^\"') THEN 'string' ELSE 'operator' END AS kind FROM (SELECT unnest(regexp_extract_all(html, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:[.][0-9]+)?|\"[^\"\\n]*\"|[<>=!&|]=|&&|[^ \\t\\r\\n]')) AS tok FROM pages)) GROUP BY kind")
-def lexer(spark, sf):
-    """Tokens of C-like text by ordered alternatives; white space is dropped."""
-    pattern = r'[A-Za-z_][A-Za-z0-9_]*|[0-9]+(?:[.][0-9]+)?|"[^"\n]*"|[<>=!&|]=|&&|[^ \t\r\n]'
-    tok = frame(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("tok"))
-    kind = F.when(F.col("tok").rlike("^[0-9]"), "number").when(F.col("tok").rlike("^[A-Za-z_]"), "name").when(F.col("tok").rlike('^"'), "string").otherwise("operator")
-    return tok.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("n_chars"))
+_DUCK_TOKEN = lexer.PATTERN.replace("'", "''")
+
+
+@query("hs24_lexer", lambda d: f"""SELECT kind, count(*) AS n, CAST(sum(length(tok)) AS BIGINT) AS n_chars FROM (SELECT tok, CASE WHEN regexp_matches(tok, '^(//|/[*])') THEN 'comment' WHEN regexp_matches(tok, '^["'']') THEN 'string' WHEN regexp_matches(tok, '^[A-Za-z_]') THEN 'name'
+  WHEN regexp_matches(tok, '^[.]?[0-9]') THEN 'number' ELSE 'operator' END AS kind FROM (SELECT unnest(regexp_extract_all(html, '{_DUCK_TOKEN}')) AS tok FROM pages)) WHERE kind <> 'comment' GROUP BY kind""")
+def lexed(spark, sf):
+    """Tokens of C-like text by ordered alternatives; blanks and comments are dropped."""
+    tok = frame(spark, sf, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(lexer.PATTERN), F.lit(0))).alias("tok"))
+    kind = F.when(F.col("tok").rlike("^(//|/[*])"), "comment").when(F.col("tok").rlike("^[\"']"), "string").when(F.col("tok").rlike("^[A-Za-z_]"), "name").when(F.col("tok").rlike("^[.]?[0-9]"), "number").otherwise("operator")
+    return tok.select(kind.alias("kind"), "tok").where("kind <> 'comment'").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("n_chars"))
+
+
+@query("hs25_text_labels")
+def text_labels(spark, sf):
+    return lexer.text_labels(frame(spark, sf, "pages"), "page_id", "html").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("f22_tag_depth", lambda d: """SELECT page_id, max(depth)::BIGINT AS deepest, count(*) AS n_tags FROM (SELECT page_id, sum(CASE WHEN regexp_matches(tag, '^</') THEN -1 WHEN regexp_matches(tag, '/>$') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM

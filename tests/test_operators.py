@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanalign.functions import bytesops
-from spanalign.operators import baselines, matching, perturb, regress, resample, sampling, segment, validate
+from spanalign.functions import bytesops, distributions
+from spanalign.operators import baselines, harness, lexer, matching, offsets, perturb, regress, resample, sampling, segment, validate
 from spanalign.sources import readers, writers
 
 
@@ -162,4 +162,79 @@ def test_full_replicates_at_small_counts(spark, sf_dir, monkeypatch):
         for name in names.split():
             assert rows(f"{name}_full") == rows(name), name
     assert rows("i4_prefix_null_full", "rep < 5") == rows("i4_prefix_null")
-    assert rows("i15_median_difference_full", "rep < 10") == rows("i15_median_difference")
+    assert rows("i15_median_difference_full") == rows("i15_median_difference")
+
+
+def test_offset_maps(spark):
+    text = "aé中🙂\n"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "xy")], "doc_id long, text string")
+    got = {r["doc_id"]: r["bytes"] for r in offsets.char_to_byte(docs).collect()}
+    assert got == {1: [0, 1, 3, 6, 10, 11], 2: [0], 3: [0], 4: [0, 1, 2]}
+    back = {r["doc_id"]: r["chars"] for r in offsets.byte_to_char(docs).collect()}
+    assert back == {1: [0, 1, -1, 2, -1, -1, 3, -1, -1, -1, 4, 5], 2: [0], 3: [0], 4: [0, 1, 2]}
+    assert {r["doc_id"]: r["ids"] for r in offsets.token_ids(docs).collect()} == {k: [1, *(b + 4 for b in (t or "").encode())] for k, t in ((1, text), (2, ""), (3, None), (4, "xy"))}
+    edges = docs.where("doc_id = 1").select("text", F.explode(F.sequence(F.lit(-1), F.lit(12))).alias("o")).select(offsets.is_char_boundary("text", "o").alias("e")).collect()
+    assert [r["e"] for r in edges] == [o in (0, 1, 3, 6, 10, 11) for o in range(-1, 13)]
+    asked = spark.createDataFrame([(1, 3), (1, 4), (1, 12), (9, 0)], "doc_id long, off long")
+    rows = {(r["doc_id"], r["off"]): (r["converted"], r["problem"]) for r in offsets.converted(asked, offsets.byte_to_char(docs), "doc_id", "off", "chars").collect()}
+    assert rows == {(1, 3): (2, None), (1, 4): (None, "inside_character"), (1, 12): (None, "outside"), (9, 0): (None, "outside")}
+
+
+def test_token_functions(spark):
+    row = spark.createDataFrame([([0.1, 2.0, 0.5, 3.0], [3, 2, 1, 4, 0, 0])], "s array<double>, p array<bigint>").withColumn("n", F.lit(9))
+    assert row.select(offsets.byte_scores("s").alias("x")).first()["x"] == [0.1, 2.0, 0.5]
+    assert row.select(offsets.start_ids("s", 1.0).alias("x")).first()["x"] == [0, 1, 2, 4]
+    assert row.select(offsets.start_ids("s", 1.0, False).alias("x")).first()["x"] == [0, 1, 2]
+    # tokens 0..2 are the start token and bytes 0 and 1; the next patch starts at byte 2
+    assert row.select(offsets.patch_byte_starts("p", "n").alias("x")).first()["x"] == [2, 4, 5]
+
+
+def test_lexer_labels():
+    assert lexer.tokens('a->b <<= 0x1F; // c\n"x\\"y" \'c\' /* d\n */ .5f') == [("name", "a"), ("operator", "->"), ("name", "b"), ("operator", "<<="), ("number", "0x1F"), ("operator", ";"), ("string", '"x\\"y"'), ("string", "'c'"), ("number", ".5f")]
+    cases = {
+        "x = *p;": {"*"}, "x = a * b;": set(), "f(&x)": {"&"}, "a & b": set(), "return *p": {"*"}, "(a) * b": set(), "new int": {"new"}, "operator new": set(), "T() = delete;": set(), "delete p;": {"delete"},
+        "memcpy(a, b, 3)": {"call"}, "x.free(1)": set(), "p->free(1)": set(), "reinterpret_cast<int>(x)": {"cast"}, "(char *) p": {"cast"}, "(unsigned char **)(p)": {"cast"}, "// *p": set(), "(a * b)": set(),
+    }
+    assert {t: lexer.labels(t) for t in cases} == cases
+
+
+def test_distributions(spark):
+    row = spark.createDataFrame([([1.0, 2.0, 3.0], [0.2, 0.3, 0.5], 0.0, -0.0, float("nan"), 12.3456, 0.00123, None)], "z array<double>, p array<double>, a double, b double, c double, d double, e double, f double")
+    got = row.select(distributions.log_softmax("z").alias("q"), "*").select(distributions.cross_entropy("p", "q").alias("h"), distributions.divergence("p", "q").alias("k"), distributions.same_bits("a", "b").alias("ab"), distributions.same_bits("c", "c").alias("cc"), distributions.shown_number("d").alias("d"), distributions.shown_number("e").alias("e"), distributions.shown_interval("d", "e", "f").alias("i")).first()
+    q = np.array([1, 2, 3]) - np.log(np.exp([1, 2, 3]).sum())
+    p = np.array([0.2, 0.3, 0.5])
+    assert abs(got["h"] + (p * q).sum()) < 1e-12 and abs(got["k"] - (p * (np.log(p) - q)).sum()) < 1e-12
+    assert not got["ab"] and got["cc"] and got["d"] == "12.3" and got["e"] == "0.00123" and got["i"] == "12.3 [0.00123, ??]"
+
+
+def test_best_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        edges = np.unique(np.concatenate([[0, 60], rng.integers(1, 60, 8)]))
+        s = rng.integers(0, 59, 20)
+        e = s + 1 + rng.integers(0, 60 - s)
+        want = [max((min(b, d) - max(a, c)) / (max(b, d) - min(a, c)) for c, d in zip(edges[:-1], edges[1:], strict=True) if min(b, d) > max(a, c)) for a, b in zip(s, e, strict=True)]
+        assert np.allclose(harness.best_overlap(s, e, edges), want)
+
+
+def test_summaries_and_scans(spark):
+    texts = ["", None, "a b", "x" * 300 + " y\n z", "é é\n\t(é)", "\n\n a\n  b \n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in segment.summaries(docs, [1.3], 7).collect()}
+    cut = {}
+    for r in segment.patches(docs, 1.3, 7).collect():
+        cut.setdefault(r["doc_id"], []).append((r["patch_index"], r["start_byte"], r["patch_length"], r["trigger"]))
+    assert set(rows) == set(cut) == {2, 3, 4, 5}
+    for k, parts in cut.items():
+        parts.sort()
+        lengths = [p[2] for p in parts]
+        assert [p[1] for p in parts] == np.cumsum([0, *lengths[:-1]]).tolist() and sum(lengths) == len(texts[k].encode()) and max(lengths) <= 7
+        assert abs(rows[k]["median_bpp"] - np.median(lengths)) < 1e-9 and abs(rows[k]["var_bpp"] - np.var(lengths)) < 1e-9 and rows[k]["n_length_cap"] == sum(p[3] == "length_cap" for p in parts)
+    lines = sorted((r["doc_id"], r["i"], r["start_byte"], r["line"]) for r in baselines.lines(docs).collect())
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for i, line in enumerate([] if t is None else t.split("\n")):
+            want.append((k, i, at, line))
+            at += len(line.encode()) + 1
+    assert lines == want
