@@ -33,9 +33,9 @@ def record_digest(*columns: str) -> Column:
 
 
 def shown_number(value: str, digits: int = 3) -> Column:
-    """A number with so many significant digits, at most six decimals, without an exponent."""
+    """A number with so many significant digits, at most six decimals, without an exponent; null for null."""
     places = F.greatest(F.lit(0), F.least(F.lit(6), F.lit(digits - 1) - F.floor(F.log10(F.greatest(F.abs(F.col(value)), F.lit(1e-9))))))
-    return F.coalesce(*(F.when(places == k, F.format_string(f"%.{k}f", F.col(value).cast("double"))) for k in range(7)))
+    return F.coalesce(*(F.when(F.col(value).isNotNull() & (places == k), F.format_string(f"%.{k}f", F.col(value).cast("double"))) for k in range(7)))
 
 
 def shown_interval(value: str, low: str, high: str, digits: int = 3) -> Column:
