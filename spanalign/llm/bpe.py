@@ -1,10 +1,11 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut only where no token can lie across the cut (before a space that a visible character
-follows); the parts are encoded once per worker and remembered. Text without such a cut for long
-is encoded by halves, and each join is repaired by encoding a growing window around it until the
-window's first and last token equal what both halves had there. Documents longer than a segment
-are dealt over the cluster by segments and joined in the same way.
+A text over a leaf's size is encoded by halves, and each join is repaired by encoding a growing
+window around it until the window's first and last token equal what both halves had there. Halves are
+cut near the middle, between characters that no later cut by classes depends on. A leaf is cut before
+spaces that a visible character follows, where no token can lie across; its parts are encoded once
+per worker and remembered. Documents longer than a segment are dealt over the cluster by segments and
+joined pairwise in the same way.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_right
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from spanalign.llm.common import table, worker_cache
 
 SEGMENT = 1 << 19
-UNSPLIT = 4096
+#: Characters that are encoded without a cut in the middle.
+LEAF = 2048
 REMEMBERED = 400_000
 
 # Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies, used for Latin text only.
@@ -74,7 +77,12 @@ class Codec:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        added = self.tok.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.ids = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        # added tokens that take nothing from around them cut a text into parts that are encoded by themselves
+        plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
+        self.specials = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if plain and self.special else None
         back = {s: b for b, s in byte_symbols().items()}
         self.bytes_of = {}
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -101,45 +109,49 @@ class Codec:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        if len(part) > UNSPLIT:
-            return self.concatenated(part)
         if part and self.ranked and (part.isascii() or max(part) < "ɐ"):
             return array("I", self.ranked.encode_ordinary(part)).tobytes()
         return self._plain(part)
 
     def encode(self, text: str) -> bytes:
+        if not any(x in text for x in self.special):
+            return self.concatenated(text)
+        if self.specials is None:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.specials.finditer(text):
+            out += [self.concatenated(text[at : m.start()]), self.ids[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.concatenated(text[at:])])
+
+    def _leaf(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return self._plain(text)
         first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         return self._part(first) + b"".join(map(self.spaced.__getitem__, rest))
 
-    def cut_near(self, text: str, middle: int, reach: int) -> tuple[int, bool] | None:
-        """The place nearest to ``middle`` where text may be cut, and whether a token may lie across it."""
+    def cut_near(self, text: str, middle: int, reach: int) -> int | None:
+        """The place nearest to ``middle`` where text may be cut, if only tokens can lie across it."""
         for step in range(reach):
             for at in (middle - step, middle + step):
                 if 0 < at < len(text):
                     a, b = _kind(text[at - 1]), _kind(text[at])
                     if text[at] == " " and a in "LNPS" and at + 1 < len(text) and _kind(text[at + 1]) in "LNPS":
-                        return at, False
-                    if a == b and a in "LN":
-                        return at, True
-                    if {a, b} == {"L", "N"}:
-                        return at, False
+                        return at
+                    if a == b and a in "LN" or {a, b} == {"L", "N"}:
+                        return at
                     if a in "PS" and b in "PS" and text[at] != "'" and text[at - 1] != "'":
-                        return at, True
+                        return at
         return None
 
     def concatenated(self, text: str) -> bytes:
-        if len(text) <= UNSPLIT:
-            return self._plain(text)
-        cut = self.cut_near(text, len(text) // 2, len(text) // 4)
-        if cut is None:
-            return self._plain(text)
-        at, across = cut
-        left, right = self.concatenated(text[:at]), self.concatenated(text[at:])
-        return self.join(left, right) if across else left + right
+        """The encoding of a text without added tokens: halves first, then their join."""
+        if len(text) <= LEAF:
+            return self._leaf(text)
+        at = self.cut_near(text, len(text) // 2, len(text) // 4)
+        if at is None:
+            return self._leaf(text)
+        return self.join(self.concatenated(text[:at]), self.concatenated(text[at:]))
 
     def join(self, left: bytes, right: bytes) -> bytes:
         """Encoding of the joined text from the encodings of both sides.
@@ -165,6 +177,12 @@ class Codec:
                 return a[: len(a) - na].tobytes() + made.tobytes() + b[nb:].tobytes()
             width *= 2
 
+    def inside(self, text: str) -> list[tuple[int, int]] | None:
+        """Spans that no cut may part: the added tokens; None if the text has one that takes from around it."""
+        if not any(x in text for x in self.special):
+            return []
+        return None if self.specials is None else [m.span() for m in self.specials.finditer(text)]
+
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
@@ -192,7 +210,7 @@ def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", keys=("doc_id
     """``keys`` of every row with the chosen OUTPUTS of its whole text.
 
     Null text counts as empty and gives no ids; repeated rows are encoded each; other columns are
-    left out, so their names can't clash. Texts over ``segment`` characters are dealt by segments.
+    left out, so their names can't clash; no documents: no rows. Texts over ``segment`` characters are dealt by segments.
     """
     src = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.coalesce(F.col(text), F.lit("")).alias("t"))
     fields = src.schema.fields[:-1]
@@ -225,11 +243,14 @@ def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", keys=("doc_id
                 one = batch.slice(r, 1)
                 t = one.column(len(fields))[0].as_py()
                 cuts, at = [0], segment
-                while at < len(t):
-                    cut = None if any(s in t for s in code.special) else code.cut_near(t, at, segment // 4)
+                inside = code.inside(t)
+                while at < len(t) and inside is not None:
+                    cut = code.cut_near(t, at, segment // 4)
                     if cut:
-                        cuts.append(cut[0])
-                    at = (cuts[-1] if cut else at) + segment
+                        k = bisect_right(inside, (cut, len(t))) - 1
+                        cut = inside[k][0] if k >= 0 and inside[k][1] > cut else cut
+                        cuts += [cut] if cut > cuts[-1] else []
+                    at = max(at, cuts[-1]) + segment
                 cuts.append(len(t))
                 uid = f"{task}-{row}"
                 row += 1

@@ -3,7 +3,8 @@
 Groups of equal texts are points in metadata space, weighted by their bytes. A node is split along
 the dimension in which its points spread widest, at the weighted median, until a leaf has the
 target bytes. All nodes of a level are split together: the median is found by histograms of a fixed
-number of bins that close in on it, so the driver sees bins only, never points.
+number of bins that close in on it, so the driver sees bins only, never points. Nodes are rows of a
+table, at most one for each shard.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 from spanalign.llm.common import Workspace, table
 
 BINS = 1024
+#: Bins of all nodes together that the driver sees at once.
+MOST_BINS = 1 << 17
+#: Nodes that travel to every task as a table; more are met by a merge join.
+SENT_NODES = 200_000
+#: Parts into which equal texts are dealt.
+SALT = 64
 #: A cut may miss its weight by this part of a leaf.
 TOLERANCE = 0.0005
 #: Equal texts stay together up to this part of a leaf; a larger group is split by rows.
@@ -38,9 +45,17 @@ def _points(docs: DataFrame, key: str, text: str, work: Workspace) -> DataFrame:
         F.col(key).alias("key"), (F.octet_length(t).cast("long") + 1).alias("bytes"), F.crc32(t.cast("binary")).alias("crc"),
         F.xxhash64(t).alias("grp"), spread("source").alias("s"), spread("lang").alias("l"),
     )
-    rows = work.keep(rows)
-    of = rows.groupBy("grp").agg(F.sum("bytes").alias("weight"), F.min("bytes").alias("size"), F.min("key").alias("first"), F.min("s").alias("s"), F.min("l").alias("l"))
-    return rows.select("key", "bytes", "crc", "grp").join(of, "grp")
+    rows = work.keep(rows).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)))
+    least = [F.min(c).alias(c) for c in ("size", "first", "s", "l")]
+    of = rows.groupBy("grp", "salt").agg(F.sum("bytes").alias("weight"), F.min("bytes").alias("size"), F.min("key").alias("first"), F.min("s").alias("s"), F.min("l").alias("l")).groupBy("grp")
+    of = of.agg(F.sum("weight").alias("weight"), *least, F.collect_list("salt").alias("salts")).select("grp", "weight", "size", "first", "s", "l", F.explode("salts").alias("salt"))
+    return rows.select("key", "bytes", "crc", "grp", "salt").join(of, ["grp", "salt"]).drop("salt")
+
+
+def _node_table(spark, rows: list, schema: str) -> DataFrame:
+    """A table of at most as many rows as there are shards."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= SENT_NODES else out.hint("merge")
 
 
 def assign(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,23 +91,25 @@ def assign(docs: DataFrame, *, shards: int | None = None, target_bytes: int | No
     next_node = 1
     while any(n > 1 for _, n in nodes.values()):
         split = [k for k, (_, n) in nodes.items() if n > 1]
-        inside = placed.where(F.col("node").isin(split))
+        inside = placed.join(_node_table(spark, [(k,) for k in split], "node int"), "node", "left_semi")
         ranges = {r["node"]: r for r in inside.groupBy("node").agg(F.sum("bytes").alias("w"), *(F.min(f"d_{d}").alias(f"lo_{d}") for d in DIMENSIONS), *(F.max(f"d_{d}").alias(f"hi_{d}") for d in DIMENSIONS)).collect()}
         split = [k for k in split if k in ranges]
-        widest = {k: max(DIMENSIONS, key=lambda d, r=ranges[k]: r[f"hi_{d}"] - r[f"lo_{d}"]) for k in split}
+        widest = {k: max(range(len(DIMENSIONS)), key=lambda d, r=ranges[k]: r[f"hi_{DIMENSIONS[d]}"] - r[f"lo_{DIMENSIONS[d]}"]) for k in split}
         # the coordinate and the tie in one number: 20 bits and 40 bits
-        chosen = F.coalesce(*(F.when(F.col("node").isin([k for k in split if widest[k] == d] or [-1]), F.col(f"d_{d}")) for d in DIMENSIONS))
+        chosen = F.element_at(F.array(*(F.col(f"d_{d}") for d in DIMENSIONS)), F.col("dim") + 1)
         at = chosen * F.lit(1 << 40) + F.col("tie")
-        coded = work.keep(inside.select("node", at.alias("at"), "bytes"))
+        dims_of = _node_table(spark, [(k, widest[k]) for k in split], "node int, dim int")
+        coded = work.keep(inside.join(dims_of, "node").select("node", at.alias("at"), "bytes"))
         goal = {k: ranges[k]["w"] * (nodes[k][1] // 2) / nodes[k][1] for k in split}
         bounds = {k: (0, 1 << 60, 0) for k in split}  # lowest and highest place of the cut, weight below
         cuts: dict[int, int] = {}
         while bounds:
-            step = {k: max(1, -(-(hi - lo) // BINS)) for k, (lo, hi, _) in bounds.items()}
-            which = F.coalesce(*(F.when((F.col("node") == k) & (F.col("at") >= lo) & (F.col("at") < hi), F.floor((F.col("at") - lo) / F.lit(step[k]))) for k, (lo, hi, _) in bounds.items()))
-            found = coded.withColumn("bin", which).where("bin IS NOT NULL").groupBy("node", "bin").agg(F.sum("bytes").alias("w")).collect()
+            bins = max(2, min(BINS, MOST_BINS // len(bounds)))
+            step = {k: max(1, -(-(hi - lo) // bins)) for k, (lo, hi, _) in bounds.items()}
+            looked = _node_table(spark, [(k, lo, hi, step[k]) for k, (lo, hi, _) in bounds.items()], "node int, lo bigint, hi bigint, step bigint")
+            binned = coded.join(looked, "node").where("at >= lo AND at < hi").withColumn("bin", F.expr("(at - lo) div step"))
             by: dict[int, dict[int, int]] = {}
-            for r in found:
+            for r in binned.groupBy("node", "bin").agg(F.sum("bytes").alias("w")).collect():
                 by.setdefault(r["node"], {})[r["bin"]] = r["w"]
             for k in list(bounds):
                 lo, hi, below = bounds.pop(k)
@@ -115,10 +132,11 @@ def assign(docs: DataFrame, *, shards: int | None = None, target_bytes: int | No
             next_node += 2
         for k in [k for k, (_, n) in nodes.items() if n > 1 and k not in right.values() and k - 1 not in right.values()]:
             nodes.pop(k)  # a node without points
-        new = F.coalesce(*(F.when(F.col("node") == k, F.when(at < cuts[k], right[k]).otherwise(right[k] + 1)) for k in split), F.col("node"))
-        placed = work.read(work.write(placed.withColumn("node", new.cast("int"))), schema=schema)
-    shard = F.coalesce(*(F.when(F.col("node") == k, F.lit(first)) for k, (first, _) in nodes.items()), F.lit(0))
-    rows = placed.select("key", "bytes", "crc", "grp", shard.cast("int").alias("shard"), F.expr(f"pmod(xxhash64(key, grp), {PARTS})").alias("part"))
+        moves = _node_table(spark, [(k, widest[k], cuts[k], right[k]) for k in split], "node int, dim int, cut bigint, first int")
+        new = F.when(F.col("first").isNull(), F.col("node")).otherwise(F.col("first") + F.when(at < F.col("cut"), 0).otherwise(1))
+        placed = work.read(work.write(placed.join(moves, "node", "left").withColumn("node", new.cast("int")).select(*schema.names)), schema=schema)
+    shard = _node_table(spark, [(k, first) for k, (first, _) in nodes.items()], "node int, shard int")
+    rows = placed.join(shard, "node", "left").select("key", "bytes", "crc", "grp", F.coalesce("shard", F.lit(0)).alias("shard"), F.expr(f"pmod(xxhash64(key, grp), {PARTS})").alias("part"))
     return _numbered(rows, work).select(F.col("key").alias(key), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), "shard", "slot", F.col("grp").alias("text_group"))
 
 

@@ -37,10 +37,12 @@ def library():
     return lambda t: tok.encode(t, add_special_tokens=False).ids
 
 
-def test_bpe_is_the_library(spark):
+@pytest.mark.parametrize("leaf", [bpe.LEAF, 24])
+def test_bpe_is_the_library(spark, monkeypatch, leaf):
     ids = library()
     code = bpe.Codec(PATH)
     rng = random.Random(3)
+    monkeypatch.setattr(bpe, "LEAF", leaf)
     letters = "ab zé'st.1 \n\t中 <|endoftext|>"
     cases = ["", " ", "  x", "a  ", "don't  we'll", "<|endoftext|>a  <|endoftext|> b", "x" * 9000, "中" * 9000, "=" * 9000, "ab1" * 4000, "the'" * 3000]
     cases += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) for _ in range(200)]
@@ -51,6 +53,10 @@ def test_bpe_is_the_library(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, None])], "doc_id long, text string")
     rows = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, PATH, segment=1000).collect()}
     assert rows == {k: ids(t) for k, t in enumerate([*cases, ""])}
+    odd = odd_documents(spark)
+    got = Counter((r["doc_id"], tuple(r["ids"])) for r in bpe.encode(odd, PATH, segment=1000).collect())
+    assert got == Counter((r["doc_id"], tuple(ids(r["text"] or ""))) for r in odd.collect())
+    assert bpe.encode(docs.limit(0), PATH).count() == 0
     back = bpe.decode(bpe.encode(docs, PATH), PATH)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == dict(enumerate([*cases, ""]))
 
@@ -72,9 +78,18 @@ def test_packing_is_gapless_and_tight(spark):
         total += at
     assert total == sum(len(ids(r["text"] or "")) + 1 for r in docs.collect())
     assert len(by) <= 1.01 * -(-total // 256) + 1
-    one = sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == 8)
-    whole = np.array([*ids("x" * 30_000), 0], "<u4").tobytes()
-    assert [(s, n, zlib.crc32(whole[4 * s : 4 * (s + n)])) for _, s, n, _ in one] == [(s, n, c) for _, s, n, c in one]
+    # every piece of every document: numbers, places, lengths and ids by the library itself
+    pieces, repeated = {}, Counter(r["doc_id"] for r in docs.collect())
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for r in docs.collect():
+        if repeated[r["doc_id"]] == 1:
+            whole, at = np.array([*ids(r["text"] or ""), 0], "<u4").tobytes(), 0
+            for k, (piece, start, length, crc) in enumerate(sorted(pieces[r["doc_id"]])):
+                assert (piece, start, crc) == (k, at, zlib.crc32(whole[4 * at : 4 * (at + length)]))
+                assert length == 256 or k == 0
+                at += length
+            assert 4 * at == len(whole) and (len(pieces[r["doc_id"]]) == 1 or 4 * 256 < len(whole))
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
@@ -217,15 +232,26 @@ def test_suffix_equal_keys_in_several_blocks(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_sharding_law(spark):
+def test_sharding_law(spark, monkeypatch):
     docs = odd_documents(spark).unionByName(spark.range(4000).selectExpr("id + 100 AS doc_id", "repeat('x', CAST(pmod(xxhash64(id), 500) AS INT)) AS text", "concat('s', id % 5) AS source"), allowMissingColumns=True)
-    rows = sharding.assign(docs.where("doc_id IS NULL OR doc_id <> 8"), shards=16).collect()
-    size, slots = Counter(), {}
-    for r in rows:
-        size[r["shard"]] += r["size"]
-        slots.setdefault(r["shard"], []).append(r["slot"])
-    assert sorted(size) == list(range(16)) and max(size.values()) < 1.1 * min(size.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    texts = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    for bins, sent in ((sharding.MOST_BINS, sharding.SENT_NODES), (64, 0)):
+        monkeypatch.setattr(sharding, "MOST_BINS", bins)
+        monkeypatch.setattr(sharding, "SENT_NODES", sent)
+        # the long text, of more than half a shard, is the whole of what shards may differ by
+        rows = sharding.assign(docs, shards=16).collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter({(k, len(t.encode()) + 1, zlib.crc32(t.encode())): n for (k, t), n in texts.items()})
+        size, slots, kept = Counter(), {}, {}
+        for r in rows:
+            size[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+            kept.setdefault(r["text_group"], []).append((r["shard"], r["size"]))
+        assert sorted(size) == list(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        leaf = sum(size.values()) / 16
+        assert max(size.values()) <= leaf + 30_001 and min(size.values()) >= leaf - 30_001
+        assert all(len({s for s, _ in g}) == 1 or sum(n for _, n in g) > sharding.WHOLE * leaf for g in kept.values())
+    rows = sharding.assign(docs.where("doc_id IS NULL OR doc_id <> 8"), shards=16).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert max(r["n"] for r in rows) < 1.1 * min(r["n"] for r in rows)
     assert sharding.assign(docs.limit(0), shards=4).count() == 0
 
 
