@@ -28,7 +28,7 @@ from spanalign.llm.common import table, worker_cache
 SEGMENT = 1 << 19
 #: Characters that are encoded without a cut in the middle.
 LEAF = 4096
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 # Fixed value: the pre-tokenizer's pattern of byte-level BPE vocabularies, used for Latin text only.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

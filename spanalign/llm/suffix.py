@@ -39,11 +39,11 @@ COVER = (1, 5, 11, 24, 25, 27)
 KEY = WIDTH - PERIOD + 1
 BLOCK = 4 << 20
 #: Bytes of text that are hashed at once: whole periods.
-PART = PERIOD << 17
+PART = PERIOD << 16
 #: Bytes of text for each range of ranks, or of buckets, that one reducer sorts.
-RANGE = 4 << 20
+RANGE = 2 << 20
 #: Suffixes that are sorted at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Parts into which the copies of one text are dealt.
 SALT = 64
 NO_KEY = 1 << 62
