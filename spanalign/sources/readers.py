@@ -72,3 +72,51 @@ def config(spark: SparkSession, path: str) -> dict:
 
     rows = spark.read.option("wholetext", "true").text(path).collect()
     return json.loads(rows[0][0])
+
+
+def inside(root: str, name: str) -> str:
+    """A path below root; names that lead out of it are refused."""
+    parts = name.split("/")
+    if name.startswith("/") or ":" in parts[0] or ".." in parts:
+        raise ValueError(f"{name} leads out of {root}")
+    return f"{root.rstrip('/')}/{name}"
+
+
+def bucket(key, buckets: int):
+    """The bucket of a key, as writers.indexed deals rows."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
+
+
+def rows_of(spark: SparkSession, path: str, key: str, value, buckets: int = 64) -> DataFrame:
+    """The rows of one key of a table written by writers.indexed: one bucket is read, the others are pruned."""
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("bucket") == bucket(F.lit(value), buckets)) & (F.col(key) == F.lit(value))).drop("bucket")
+
+
+def one_row(rows: DataFrame, what: str):
+    """The only row; none or several are an error."""
+    found = rows.limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{what}: {'no row' if not found else 'several rows'}")
+    return found[0]
+
+
+def samples(manifest: DataFrame, files: DataFrame, split: str | None = None, domains: list[str] | None = None, limit: int | None = None, key: str = "file_id") -> DataFrame:
+    """The manifest's rows of a split and of domains with their files' columns, by key; a row without a file is left out.
+
+    ``limit`` keeps the first rows by key. Null keys meet no file.
+    """
+    rows = manifest
+    if split is not None:
+        rows = rows.where(F.col("split") == split)
+    if domains is not None:
+        rows = rows.where(F.col("domain").isin(domains))
+    joined = rows.join(files, key).orderBy(key)
+    return joined if limit is None else joined.limit(limit)
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Of each key the row that writers.upsert appended last, without deleted ones."""
+    rows = spark.read.parquet(path)
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct("version__", "writer__")).alias("r")).select("r.*").where("NOT deleted__").drop("version__", "writer__", "deleted__")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanalign.operators.validate import bag_difference
+from spanalign.sources.readers import bucket
 
 
 def table(df: DataFrame, path: str, exclusive: bool = False) -> None:
@@ -74,3 +77,22 @@ def fingerprint(df: DataFrame) -> str:
     """A hash of the bag of rows that no order or partitioning changes."""
     h = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.expr("bit_xor(h)").alias("x")).first()
     return f"{h['n']}-{h['s']}-{h['x']}"
+
+
+def indexed(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Parquet in folders by the key's bucket, sorted by key inside, so that a key is found without reading the rest."""
+    df.withColumn("bucket", bucket(F.col(key), buckets)).repartition("bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert(df: DataFrame, path: str, deleted: bool = False) -> None:
+    """Appends rows that readers.latest prefers to older ones of their key; no reader waits and no lock is needed.
+
+    Writers at the same nanosecond are told apart by a random number; clocks of several drivers should agree.
+    """
+    stamped = df.withColumns({"version__": F.lit(time.time_ns()), "writer__": F.lit(uuid.uuid4().hex), "deleted__": F.lit(deleted)})
+    stamped.write.mode("append").parquet(path)
+
+
+def register_analysis(df: DataFrame, path: str, inputs: DataFrame, code: str) -> None:
+    """Upserts analyses, with what they came from: a fingerprint of their inputs and the code's version."""
+    upsert(df.withColumns({"inputs": F.lit(fingerprint(inputs)), "code": F.lit(code)}), path)
