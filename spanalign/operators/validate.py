@@ -41,6 +41,94 @@ def boundary_problems(patches: DataFrame, tau: float, longest: int, key: str = "
     return patches.select(key, found.alias("rules")).select(key, F.explode("rules").alias("rule"))
 
 
+#: Rules of a boundary table as SQL over one scan of it: rows by patch_index, each with what stands before and after.
+#: has: a row of the table; known: its file is; place: its number; last: no row follows; total: lengths up to it.
+BOUNDARY_RULES = {
+    "null": "has AND (patch_index IS NULL OR start_byte IS NULL OR patch_length IS NULL OR trigger IS NULL)",
+    "unknown_file": "has AND NOT known",
+    "no_rows": "NOT has AND n_bytes > 0",
+    "rows_of_empty_file": "has AND n_bytes = 0",
+    "trigger": "has AND trigger NOT IN ('init', 'entropy', 'length_cap')",
+    "first": "has AND place = 1 AND NOT (start_byte = 0 AND trigger = 'init')",
+    "init_again": "has AND place > 1 AND trigger = 'init'",
+    "order": "has AND start_byte <= before",
+    "outside": "has AND (start_byte < 0 OR start_byte >= n_bytes)",
+    "index": "has AND patch_index <> place - 1",
+    "not_positive": "has AND patch_length < 1",
+    "step": "has AND patch_length <> coalesce(after, n_bytes) - start_byte",
+    "sum": "has AND last AND total <> n_bytes",
+    "not_finite": "has AND trigger <> 'length_cap' AND (score IS NULL OR NOT (CAST(score AS DOUBLE) BETWEEN -1e300 AND 1e300))",
+    "not_above": "has AND trigger = 'entropy' AND CAST(score AS DOUBLE) <= {tau}",
+    "cap_above": "has AND trigger = 'length_cap' AND CAST(score AS DOUBLE) > {tau}",
+    "cap_unset": "has AND trigger = 'length_cap' AND {longest} IS NULL",
+    "cap_early": "has AND trigger = 'length_cap' AND before_length <> {longest}",
+    "long": "has AND patch_length > {longest}",
+}
+
+
+def boundary_rules(tau: float, longest: int | None) -> dict[str, str]:
+    cap = "CAST(NULL AS INT)" if longest is None else str(longest)
+    return {k: r.format(tau=f"CAST({tau!r} AS DOUBLE)", longest=cap) for k, r in BOUNDARY_RULES.items()}
+
+
+def boundary_table_problems(rows: DataFrame, files: DataFrame, tau: float, longest: int | None = None, key: str = "doc_id") -> DataFrame:
+    """key, rule for every row of a boundary table, or file without rows, that breaks a rule.
+
+    ``files`` has key and n_bytes, one row a file. A null key is no file's; an empty table breaks no_rows only.
+    One shuffle by key; a file's rows are read in order, so that no file is held as a whole.
+    """
+    w = Window.partitionBy(key).orderBy(F.col("patch_index").asc_nulls_last(), F.col("start_byte").asc_nulls_first())
+    have = rows.select(key, "patch_index", "start_byte", "patch_length", "trigger", "score", F.lit(True).alias("has"))
+    x = have.join(files.select(key, "n_bytes", F.lit(True).alias("known")), key, "full").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has", "known")})
+    x = x.withColumns({
+        "place": F.row_number().over(w),
+        "before": F.lag("start_byte").over(w),
+        "after": F.lead("start_byte").over(w),
+        "before_length": F.lag("patch_length").over(w),
+        "last": F.lead("has").over(w).isNull(),
+        "total": F.sum("patch_length").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    found = F.array_compact(F.array(*(F.when(F.expr(r), F.lit(k)) for k, r in boundary_rules(tau, longest).items())))
+    return x.select(key, F.explode(found).alias("rule"))
+
+
+def score_problems(rows: DataFrame, scores: str, n: str, greatest: float, key: str = "doc_id") -> DataFrame:
+    """key, rule of score series that are missing, of another length than ``n``, not finite, negative or above ``greatest``."""
+    x = F.col(scores)
+
+    def finite(v):
+        return ~F.isnan(v) & (F.abs(v) < float("inf"))
+
+    rules = {
+        "missing": x.isNull(),
+        "length": F.size(x) != F.col(n),
+        "not_finite": F.exists(x, lambda v: v.isNull() | ~finite(v)),
+        "negative": F.exists(x, lambda v: v < 0),
+        "above": F.exists(x, lambda v: finite(v) & (v > greatest)),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))
+    return rows.select(key, F.explode(found).alias("rule"))
+
+
+#: Rules of summaries of bytes per patch, one row a file and run, as SQL.
+SUMMARY_RULES = {
+    "null": "n_patches IS NULL OR n_bytes IS NULL",
+    "negative": "n_patches < 0 OR n_bytes < 0 OR var_bpp < 0",
+    "more_patches_than_bytes": "n_patches > n_bytes",
+    "mean": "n_patches > 0 AND (mean_bpp IS NULL OR abs(mean_bpp * n_patches - n_bytes) > 0.000001 * n_bytes)",
+    "order": "min_bpp > mean_bpp OR mean_bpp > max_bpp",
+    "variance": "var_bpp > (max_bpp - mean_bpp) * (mean_bpp - min_bpp) + 0.000001",
+    "triggers": "n_init + n_entropy + n_length_cap <> n_patches",
+    "starts": "n_init <> CASE WHEN n_patches > 0 THEN 1 ELSE 0 END",
+}
+
+
+def summary_problems(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, rule of summaries whose numbers contradict each other."""
+    found = F.array_compact(F.array(*(F.when(F.expr(r), F.lit(k)) for k, r in SUMMARY_RULES.items())))
+    return rows.select(key, F.explode(found).alias("rule"))
+
+
 def span_problems(docs: DataFrame, every: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, problem of spans of ``width`` bytes at every ``every``-th byte: outside, cuts a character, ok."""
     def find(data, ends):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanalign.operators import sampling, validate
-from spanalign.plans.registry import frame, query, shared
+from spanalign.functions import tables
+from spanalign.operators import guards, sampling, validate
+from spanalign.plans.bindings import TAU
+from spanalign.plans.registry import SPARK, frame, query, run_sql, shared
+from spanalign.sources import readers
 
 # -- selection, sampling, splits ---------------------------------------------------------------------
 
@@ -233,6 +236,105 @@ def _(d):
     return f"SELECT 'duplicate' AS rule, count(*) AS n FROM (SELECT user_id, event_type FROM {d.t('series')} GROUP BY user_id, event_type HAVING count(*) > 15) a UNION ALL SELECT 'unknown_run', count(*) FROM {d.t('series')} s WHERE NOT EXISTS (SELECT 1 FROM {d.t('customer')} c WHERE c.c_custkey = s.user_id)"
 
 
+def _damaged(d):
+    """The documents' boundary table with faults in some groups of documents."""
+    return f"""SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN patch_index + 1 ELSE patch_index END AS patch_index,
+      CASE WHEN doc_id % 11 = 2 AND patch_index = 1 THEN start_byte + 1 WHEN doc_id % 11 = 9 AND patch_index = 2 THEN 0 ELSE start_byte END AS start_byte,
+      CASE WHEN doc_id % 11 = 3 AND patch_index = 2 THEN 0 ELSE patch_length END AS patch_length,
+      CASE WHEN doc_id % 11 = 4 AND patch_index = 3 THEN 'length_cap' WHEN doc_id % 11 = 6 AND patch_index = 1 THEN 'other' ELSE trigger END AS trigger,
+      CASE WHEN doc_id % 11 = 5 AND patch_index > 0 THEN CAST(0 AS FLOAT) WHEN doc_id % 11 = 8 AND patch_index = 1 THEN NULL ELSE score END AS score
+      FROM {d.t('patches')} WHERE NOT (doc_id % 11 = 7 AND patch_index = 0) AND NOT (doc_id % 22 = 10)"""
+
+
+_FILES = "SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes FROM "
+
+
+def _boundary_sql(d):
+    found = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM y WHERE {r}" for k, r in validate.boundary_rules(TAU, 12).items())
+    order = "PARTITION BY doc_id ORDER BY patch_index NULLS LAST, start_byte NULLS FIRST"
+    return f"""WITH r AS ({_damaged(d)}), f AS ({_FILES} {d.t('manifest')}),
+      x AS (SELECT coalesce(r.doc_id, f.doc_id) AS doc_id, patch_index, start_byte, patch_length, trigger, score, n_bytes, r.doc_id IS NOT NULL AS has, f.doc_id IS NOT NULL AS known FROM r FULL JOIN f ON r.doc_id = f.doc_id),
+      y AS (SELECT *, row_number() OVER w AS place, lag(start_byte) OVER w AS before, lead(start_byte) OVER w AS after, lag(patch_length) OVER w AS before_length, lead(has) OVER w IS NULL AS last,
+        sum(patch_length) OVER ({order} ROWS UNBOUNDED PRECEDING) AS total FROM x WINDOW w AS ({order}))
+      SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({found}) q GROUP BY rule"""
+
+
+@query("c18_boundary_invariants", _boundary_sql)
+def boundary_invariants(spark, sf):
+    """All rules of a boundary table against one with faults."""
+    files = run_sql(spark, sf, f"{_FILES} {{manifest}}")
+    found = validate.boundary_table_problems(run_sql(spark, sf, _damaged(SPARK)), files, TAU, 12)
+    return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query("c19_score_rules", lambda d: """SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN embedding IS NULL THEN 'missing' END, CASE WHEN len(embedding) <> n THEN 'length' END, CASE WHEN len(list_filter(embedding, lambda x: x < 0)) > 0 THEN 'negative' END,
+  CASE WHEN len(list_filter(embedding, lambda x: x > 0.2)) > 0 THEN 'above' END]) AS rule FROM (SELECT *, CASE WHEN vec_id % 5 = 0 THEN 1 ELSE len(embedding) END AS n FROM embeddings) e) q WHERE rule IS NOT NULL GROUP BY rule""")
+def score_rules(spark, sf):
+    """Series against the length that they should have, and the range of scores."""
+    rows = frame(spark, sf, "embeddings").withColumn("n", F.expr("CASE WHEN vec_id % 5 = 0 THEN 1 ELSE size(embedding) END"))
+    return validate.score_problems(rows, "embedding", "n", 0.2, "vec_id").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _summaries(d):
+    """Bytes per patch of each document, with a fault in some."""
+    def off(k, by):
+        return f"CASE WHEN doc_id % 13 = {k} THEN {by} ELSE 0 END"
+
+    return f"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n_patches, CAST(sum(patch_length) AS BIGINT) AS n_bytes, avg(patch_length) + {off(1, 0.5)} AS mean_bpp, var_pop(patch_length) + {off(2, 1000000)} AS var_bpp,
+      min(patch_length) + {off(3, 1000000)} AS min_bpp, max(patch_length) AS max_bpp, sum(CASE WHEN trigger = 'init' THEN 1 ELSE 0 END) + {off(4, 1)} AS n_init,
+      sum(CASE WHEN trigger = 'entropy' THEN 1 ELSE 0 END) AS n_entropy, sum(CASE WHEN trigger = 'length_cap' THEN 1 ELSE 0 END) AS n_length_cap FROM {d.t('patches')} GROUP BY doc_id"""
+
+
+def _summary_sql(d):
+    found = " UNION ALL ".join(f"SELECT '{k}' AS rule FROM s WHERE {r}" for k, r in validate.SUMMARY_RULES.items())
+    return f"WITH s AS ({_summaries(d)}) SELECT rule, count(*) AS n FROM ({found}) q GROUP BY rule"
+
+
+@query("c20_summary_rules", _summary_sql)
+def summary_rules(spark, sf):
+    """Summaries whose numbers contradict each other."""
+    return validate.summary_problems(run_sql(spark, sf, _summaries(SPARK))).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _group_digests(d, recorded):
+    """Digests by language; the record lacks one and holds another one's with a fault."""
+    text = "STRING" if d.spark else "VARCHAR"
+    total = f"CAST(coalesce(sum(n_bytes), 0) AS BIGINT) + {'''CASE WHEN language = 'de' THEN 1 ELSE 0 END''' if recorded else 0}"
+    digest = d.sha(f"concat(CAST(count(*) AS {text}), ':', CAST({total} AS {text}))")
+    return f"SELECT language AS name, {digest} AS digest FROM {d.t('manifest')} WHERE language <> '{'en' if recorded else 'fr'}' GROUP BY language"
+
+
+@query("c24_guard_problems", lambda d: f"""SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'unknown' ELSE 'changed' END AS problem
+  FROM ({_group_digests(d, True)}) a FULL JOIN ({_group_digests(d, False)}) b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.digest <> b.digest""")
+def guard_problems(spark, sf):
+    """What a run that rests on a frozen record would be refused for."""
+    return guards.frozen_problems(*(run_sql(spark, sf, _group_digests(SPARK, r)) for r in (True, False)))
+
+
+@query("a16_samples", lambda d: f"SELECT doc_id, domain, n_bytes, n_chars FROM (SELECT m.doc_id, m.language AS domain, m.n_bytes, f.n_chars FROM {d.t('manifest')} m JOIN (SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL) f ON m.doc_id = f.doc_id WHERE m.split = 'train' AND m.language IN ('en', 'de') ORDER BY m.doc_id LIMIT 100) q")
+def samples(spark, sf):
+    """The first hundred documents of a split and two domains; those without a text are skipped."""
+    manifest = frame(spark, sf, "manifest").select("doc_id", F.col("language").alias("domain"), "n_bytes", "split")
+    files = frame(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "n_chars")
+    return readers.samples(manifest, files, "train", ["en", "de"], 100, "doc_id").select("doc_id", "domain", "n_bytes", "n_chars")
+
+
+@shared("a17_start_rows")
+def _(d):
+    """Results by language, with the expected hits that a stored F1 and its denominator imply."""
+    f1 = d.ratio("2 * sum(tp)", "sum(2 * tp + fp + fn)")
+    return f"SELECT axis, stratum, kind, den, round(f1, 9) AS f1, round(f1 * den / 2, 6) AS expected FROM (SELECT 'language' AS axis, language AS stratum, 'start' AS kind, CAST(sum(2 * tp + fp + fn) AS BIGINT) AS den, {f1} AS f1 FROM {d.t('per_file')} GROUP BY language) q"
+
+
+@query("b14_table_rows", lambda d: r"""SELECT o_orderpriority, replace(name, '#', '\#') || ' & ' || n || ' & ' || coalesce(CAST(n_late AS VARCHAR), '??') || ' \\' AS latex, '| ' || name || ' | ' || n || ' |' AS markdown,
+  '\newcommand{\' || regexp_replace(translate(o_orderpriority, '0123456789', 'abcdefghij'), '[^A-Za-z]', '', 'g') || '}{' || n || '}' AS macro FROM (SELECT o_orderpriority, min(o_orderpriority || '#') AS name, count(*) AS n, nullif(count(*) FILTER (WHERE o_orderstatus = 'none'), 0) AS n_late FROM orders GROUP BY o_orderpriority) q""")
+def table_rows(spark, sf):
+    """Results as lines of LaTeX, of Markdown and as macros."""
+    late = F.expr("nullif(count_if(o_orderstatus = 'none'), 0)")
+    rows = frame(spark, sf, "orders").groupBy("o_orderpriority").agg(F.min(F.concat("o_orderpriority", F.lit("#"))).alias("name"), F.count("*").alias("n"), late.alias("n_late"))
+    return rows.select("o_orderpriority", tables.latex_row("name", "n", "n_late").alias("latex"), tables.markdown_row("name", "n").alias("markdown"), tables.latex_macro("o_orderpriority", "n").alias("macro"))
+
+
 @shared("c21_completeness")
 def _(d):
     return f"SELECT w.doc_id, count(*) AS n_missing FROM {d.t('words')} w WHERE w.start_byte > 0 AND NOT EXISTS (SELECT 1 FROM {d.t('patches')} p WHERE p.doc_id = w.doc_id AND p.start_byte = w.start_byte) GROUP BY w.doc_id"
