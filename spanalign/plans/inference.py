@@ -255,6 +255,18 @@ def demeaned_ols(spark, sf):
     return spark.createDataFrame([(fit["term"], round(fit["estimate"], 8), round(fit["se"], 8), fit["n"], fit["clusters"])], "term string, estimate double, se double, n bigint, clusters bigint")
 
 
+@query("i33_ols_dummies")
+def ols_dummies(spark, sf):
+    """The same with region length and a dummy for each language but the first."""
+    from spanalign.plans.registry import SPARK, run_sql
+
+    rows = run_sql(spark, sf, _regions(SPARK)).select("file_id", "language", "density", F.col("unsafe").cast("double").alias("unsafe"), F.col("region_length").cast("double").alias("size"), F.lit(1.0).alias("one"))
+    rows, levels = regress.with_levels(rows, "language")
+    fit = regress.identified(regress.ols(rows, "density", ["one", "unsafe", "size", *levels], "file_id"))
+    out = [(r["term"], round(r["estimate"], 8), None if r["se"] is None else round(r["se"], 8), r["n"], r["rank"], r["identified"]) for r in fit]
+    return spark.createDataFrame(out, "term string, estimate double, se double, n bigint, rank bigint, identified boolean")
+
+
 @query("i35_nested_models")
 def nested_models(spark, sf):
     """The same coefficient under growing sets of controls, inside files."""
@@ -269,10 +281,11 @@ def nested_models(spark, sf):
 
 @shared("i36_region_sampling")
 def _(d):
-    """Files with both kinds of region; of each at most two regions of each kind by hash rank."""
+    """Files with both kinds of region; the first 1,500 by hash; of each at most five regions of each kind by hash rank."""
     h = d.key("'20260927'", "file_id", "pos")
     return f"""SELECT file_id, flag, pos FROM (SELECT file_id, flag, pos, row_number() OVER (PARTITION BY file_id, flag ORDER BY {h}) AS r FROM (SELECT file_id, pos, CASE WHEN flag = 'R' THEN 'unsafe' ELSE 'clean' END AS flag FROM {d.t('tiles')}) t
-      WHERE file_id IN (SELECT file_id FROM {d.t('tiles')} GROUP BY file_id HAVING sum(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN flag <> 'R' THEN 1 ELSE 0 END) > 0)) q WHERE r <= 2"""
+      WHERE file_id IN (SELECT file_id FROM {d.t('tiles')} GROUP BY file_id HAVING sum(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN flag <> 'R' THEN 1 ELSE 0 END) > 0
+        ORDER BY {d.key("'20260927'", 'file_id')}, file_id LIMIT 1500)) q WHERE r <= 5"""
 
 
 # -- perturbation ----------------------------------------------------------------------------------

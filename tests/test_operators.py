@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanalign.functions import bytesops, distributions
-from spanalign.operators import baselines, harness, lexer, matching, offsets, perturb, regress, resample, sampling, segment, validate
+from spanalign.functions import bytesops, distributions, tables
+from spanalign.operators import baselines, guards, harness, lexer, matching, offsets, perturb, regress, resample, sampling, segment, validate
 from spanalign.sources import readers, writers
 
 
@@ -238,3 +238,82 @@ def test_summaries_and_scans(spark):
             want.append((k, i, at, line))
             at += len(line.encode()) + 1
     assert lines == want
+
+
+def test_boundary_rules_fire(spark):
+    """A right table breaks nothing; each mutation breaks the rule that names it."""
+    right = [(1, 0, 0, 4, "init", 9.0), (1, 1, 4, 4, "length_cap", None), (1, 2, 8, 2, "entropy", 2.0)]
+
+    def rules(rows, longest=4, files=((1, 10), (2, 0))):
+        table = spark.createDataFrame(list(rows), "doc_id long, patch_index int, start_byte long, patch_length int, trigger string, score float")
+        known = spark.createDataFrame(list(files), "doc_id long, n_bytes long")
+        return {r["rule"] for r in validate.boundary_table_problems(table, known, 1.5, longest).collect()}
+
+    def changed(row, at, value):
+        return [(*r[:at], value, *r[at + 1 :]) if k == row else r for k, r in enumerate(right)]
+
+    assert rules(right) == set()
+    assert rules([]) == {"no_rows"} and rules(right, None) == {"cap_unset"}
+    assert rules(right, files=((1, 0),)) >= {"rows_of_empty_file", "outside", "sum", "step"}
+    assert "unknown_file" in rules([(7, *r[1:]) for r in right])
+    wanted = {"null": (1, 4, None), "trigger": (2, 4, "other"), "first": (0, 4, "entropy"), "init_again": (2, 4, "init"), "order": (2, 2, 4), "outside": (2, 2, 10), "index": (2, 1, 5), "not_positive": (2, 3, 0), "step": (2, 3, 1), "sum": (2, 3, 1), "not_finite": (2, 5, float("nan")), "not_above": (2, 5, 1.5), "cap_above": (1, 5, 2.0), "cap_early": (0, 3, 3), "long": (0, 3, 5)}
+    for rule, change in wanted.items():
+        assert rule in rules(changed(*change)), rule
+    assert set(wanted) | {"no_rows", "cap_unset", "rows_of_empty_file", "unknown_file"} == set(validate.BOUNDARY_RULES)
+
+
+def test_score_and_summary_rules(spark):
+    series = [(1, [0.0, 1.0], 2), (2, None, 2), (3, [1.0], 2), (4, [float("nan"), float("inf")], 2), (5, [-1.0, None], 2), (6, [9.0, 0.0], 2)]
+    rows = spark.createDataFrame(series, "doc_id long, s array<double>, n int")
+    assert {(r["doc_id"], r["rule"]) for r in validate.score_problems(rows, "s", "n", 5.6).collect()} == {(2, "missing"), (3, "length"), (4, "not_finite"), (5, "negative"), (5, "not_finite"), (6, "above")}
+    schema = "doc_id long, n_patches long, n_bytes long, mean_bpp double, var_bpp double, min_bpp int, max_bpp int, n_init long, n_entropy long, n_length_cap long"
+    rows = spark.createDataFrame([(1, 2, 6, 3.0, 1.0, 2, 4, 1, 1, 0), (2, 2, 6, 3.5, 0.5, 2, 4, 1, 1, 0), (3, 2, 6, 3.0, 9.0, 2, 4, 1, 0, 0), (4, 0, 0, None, None, None, None, 0, 0, 0)], schema)
+    assert {(r["doc_id"], r["rule"]) for r in validate.summary_problems(rows).collect()} == {(2, "mean"), (3, "variance"), (3, "triggers")}
+
+
+def test_guards(spark):
+    record = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "name string, digest string")
+    now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", None), ("d", "4")], "name string, digest string")
+    assert {tuple(r) for r in guards.frozen_problems(record, now).collect()} == {("b", "changed"), ("d", "unknown")}
+    guards.require(guards.frozen_problems(record, record), "record")
+    with pytest.raises(ValueError, match="record: "):
+        guards.require(guards.frozen_problems(now, record), "record")
+
+
+def test_indexed_and_latest(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"v{k}") for k in range(50)] + [(7, "again")], "id long, s string")
+    writers.indexed(df, f"file://{tmp_path}/x", "id", 8)
+    assert readers.one_row(readers.rows_of(spark, f"file://{tmp_path}/x", "id", 3, 8), "3")["s"] == "v3"
+    for k in (7, 99):
+        with pytest.raises(ValueError):
+            readers.one_row(readers.rows_of(spark, f"file://{tmp_path}/x", "id", k, 8), str(k))
+    assert readers.inside("/r/", "a/b") == "/r/a/b"
+    for name in ("../x", "/x", "file:x", "a/../../x"):
+        with pytest.raises(ValueError):
+            readers.inside("/r", name)
+    path = f"file://{tmp_path}/u"
+    writers.upsert(df.where("id < 2"), path)
+    writers.upsert(df.where("id = 1").withColumn("s", F.lit("new")), path)
+    writers.upsert(df.where("id = 0"), path, deleted=True)
+    assert [tuple(r) for r in readers.latest(spark, path, "id").collect()] == [(1, "new")]
+    writers.register_analysis(df.where("id < 2"), f"file://{tmp_path}/a", df, "1")
+    writers.register_analysis(df.where("id < 1"), f"file://{tmp_path}/a", df, "2")
+    assert {(r["id"], r["code"]) for r in readers.latest(spark, f"file://{tmp_path}/a", "id").collect()} == {(0, "2"), (1, "1")}
+
+
+def test_dummies_and_typeset_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k % 7, 1.0, float(rng.normal()), "abc.d"[k % 5], float(k % 5)) for k in range(100)]
+    frame, levels = regress.with_levels(spark.createDataFrame(rows, "f long, one double, x double, g string, z double"), "g")
+    frame = frame.withColumn("y", F.col("x") * 2 + F.col("z"))
+    fit = regress.identified(regress.ols(frame, "y", ["one", "x", *levels], "f"))
+    design = np.array([[1.0, r[2], *(float(r[3] == v) for v in sorted("abc.d")[1:])] for r in rows])
+    want = np.linalg.lstsq(design, np.array([2 * r[2] + r[4] for r in rows]), rcond=None)[0]
+    assert np.allclose([r["estimate"] for r in fit], want) and all(r["identified"] and r["se"] is not None for r in fit)
+    twice = regress.identified(regress.ols(frame.withColumn("same", F.col("x")), "y", ["one", "x", "same"], "f"))
+    assert not any(r["identified"] for r in twice) and all(r["se"] is None for r in twice)
+    with pytest.raises(ValueError):
+        regress.with_levels(frame, "g", 4)
+    one = spark.createDataFrame([("a_1 & 50%\\", None, "x|y\nz")], "a string, b int, c string")
+    got = one.select(tables.latex_row("a", "b").alias("l"), tables.markdown_row("c", "b").alias("m"), tables.latex_macro("a", "b").alias("d")).first()
+    assert tuple(got) == ("a\\_1 \\& 50\\%\\textbackslash{} & ?? \\\\", "| x\\|y z | ?? |", "\\newcommand{\\abfa}{??}")
