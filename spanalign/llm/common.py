@@ -25,6 +25,23 @@ def worker_cache() -> dict:
     return holder.__dict__.setdefault("entries", {})
 
 
+def lean(make):
+    """make for mapInArrow, after which the worker gives its free memory back to the system: an idle
+    worker lives on beside the JVM's next stages."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,10 +62,10 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
 
-    def write(self, df: DataFrame) -> str:
+    def write(self, df: DataFrame, options: dict | None = None) -> str:
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
         return path
 
     def read(self, *paths: str, schema=None) -> DataFrame:

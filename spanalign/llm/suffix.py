@@ -15,12 +15,15 @@ suffixes at once would take many times the text; instead
 
 Inside a part of a block equal pieces are resolved before anything is sent: a string that a third of
 all documents share is sent once for each part. A long text is taken in parts, a long bucket in
-chunks, of which only the distinct strings are carried on.
+chunks, of which only the distinct strings are carried on. A string of KEY bytes that is common in the
+corpus makes a bucket that grows with it: one of more than HELD strings goes to temporary files by name
+and is resolved file by file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanalign.llm.common import Workspace, table
+from spanalign.llm.common import Workspace, lean, table
 from spanalign.llm.runs import runs
 from spanalign.llm.shingles import constants, mix
 
@@ -40,10 +43,14 @@ KEY = WIDTH - PERIOD + 1
 BLOCK = 4 << 20
 #: Bytes of text that are hashed at once: whole periods.
 PART = PERIOD << 16
-#: Bytes of text for each range of ranks, or of buckets, that one reducer sorts.
+#: Bytes of text for each range of ranks, and of buckets, that one reducer sorts.
+RANK_RANGE = 4 << 20
 RANGE = 2 << 20
 #: Suffixes that are sorted at once.
 CHUNK = 1 << 19
+#: Suffixes of a bucket that are held in memory, and the files, by so many bits of the name, that take more.
+HELD = 1 << 20
+BITS = 4
 #: Parts into which the copies of one text are dealt.
 SALT = 64
 NO_KEY = 1 << 62
@@ -53,6 +60,8 @@ _MULTIPLIERS = constants(8, 11)
 #: Places from which eight bytes each make up KEY, and WIDTH, bytes.
 _KEY_AT = (0, 8, KEY - 8)
 _WIDTH_AT = (0, 8, 16, 24, 32, 40, WIDTH - 8)
+#: A block is a page and a row group: a reader holds one at a time, not all those of a file.
+ROW_BY_ROW = {"parquet.block.size": BLOCK, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
 BLOCK_SQL = "g bigint, ids binary, hashes binary, ends binary, data binary"
 RANKS = "r bigint, g bigint, known boolean, h binary, pos binary, id binary, n binary"
 PIECES = "r bigint, g bigint, known boolean, data binary, pos binary, len binary, id binary, n binary"
@@ -118,13 +127,23 @@ def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[starts], np.diff(np.concatenate([starts, [len(x)]]))
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: the high ones, mostly zero, compress away."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _numbers(raw: bytes, kind) -> np.ndarray:
+    n = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(n, len(raw) // n).T).view(kind).ravel()
+
+
 def _steps(a: np.ndarray) -> bytes:
     """Ascending places as their differences, which compress well."""
-    return np.diff(a, prepend=np.int64(0)).astype(np.uint32).tobytes()
+    return _planes(np.diff(a, prepend=np.int64(0)).astype(np.uint32))
 
 
 def _places(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
+    return np.cumsum(_numbers(raw, np.uint32), dtype=np.int64)
 
 
 def _batch(schema: str, rows: list) -> pa.RecordBatch:
@@ -195,7 +214,7 @@ def sampler(ranges: int):
                     short, place, by = (h[keep] >> _U(32)).astype(np.uint32), places[keep] + lo, by[keep]
                     for value, a, b in cuts:
                         who, many = _runs_of(by[a:b])
-                        rows.append((value, g, False, short[a:b].tobytes(), _steps(place[a:b]), who.tobytes(), many.astype(np.uint32).tobytes()))
+                        rows.append((value, g, False, short[a:b].tobytes(), _steps(place[a:b]), _planes(who), many.astype(np.uint32).tobytes()))
                     if rows:
                         yield _batch(RANKS, rows)
 
@@ -211,7 +230,7 @@ def _open(rows: pa.Table, kind: str):
 
 
 def _owners(part) -> np.ndarray:
-    return np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(n, np.uint32)) for a, n in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), strict=True)])
+    return np.concatenate([np.repeat(_numbers(a, np.int64), np.frombuffer(n, np.uint32)) for a, n in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), strict=True)])
 
 
 def tied_ranks(batches):
@@ -307,7 +326,7 @@ def sorter(ranges: int):
                     raw, offsets = texts.buffers()[2], np.frombuffer(texts.buffers()[1], np.int32)
                     for value, a, b in _by_range(r)[1]:
                         who, many = _runs_of(by[a:b])
-                        rows.append((value, g, False, raw[int(offsets[a]) : int(offsets[b])].to_pybytes(), _steps(starts[a:b] + lo), n[a:b].astype(np.uint32).tobytes(), who.tobytes(), many.astype(np.uint32).tobytes()))
+                        rows.append((value, g, False, raw[int(offsets[a]) : int(offsets[b])].to_pybytes(), _steps(starts[a:b] + lo), n[a:b].astype(np.uint32).tobytes(), _planes(who), many.astype(np.uint32).tobytes()))
                     yield _batch(PIECES, rows)
 
     return run
@@ -317,12 +336,27 @@ def _spans(starts: np.ndarray, n: np.ndarray) -> bytes:
     return np.stack([starts, n], 1).astype(np.uint32).tobytes()
 
 
+def _order_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal strings side by side, what is equal just where they are, and their names."""
+    names = h = _names(words)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    left, right = order[:-1][same], order[1:][same]
+    if any((w[left] != w[right]).any() for w in words):
+        # two strings of one name: the bytes decide
+        order = np.lexsort(words)
+        h = np.empty(len(order), _U)
+        h[order] = np.cumsum(np.concatenate([[0], (np.diff(words[:, order].view(np.int64), axis=1) != 0).any(0)]))
+    return order, h, names
+
+
 class _Bucket:
-    """Suffixes of one bucket, sorted so far: their bytes, owners and places."""
+    """Suffixes of one bucket, sorted so far: their bytes, owners and places. More than HELD go to files."""
 
     def __init__(self):
         self.words = np.empty((len(_WIDTH_AT), 0), _U)
         self.ids = self.g = self.pos = np.empty(0, np.int64)
+        self.files = None
 
     def add(self, part: pa.Table):
         """Sorts a chunk in; yields (g, hit), spans of suffixes that tie with a smaller document."""
@@ -341,28 +375,88 @@ class _Bucket:
             words = np.concatenate([self.words, words], 1)
             pos, g = np.concatenate([self.pos, pos]), np.concatenate([self.g, g])
         ids = np.concatenate([self.ids, np.repeat(_owners(part), n)])
-        h = _names(words)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        left, right = order[:-1][same], order[1:][same]
-        if any((w[left] != w[right]).any() for w in words):
-            # two strings of one name: the bytes decide, and give the name
-            order = np.lexsort(words)
-            h = np.empty(len(order), _U)
-            h[order] = np.cumsum(np.concatenate([[0], (np.diff(words[:, order].view(np.int64), axis=1) != 0).any(0)]))
+        order, h, names = _order_of(words)
         least, _, n_of = _edges_of_ties(order, h, ids)
         hit = np.empty(len(ids), bool)
         hit[order] = ids[order] > np.repeat(least, n_of)
-        some = np.flatnonzero(hit)
-        if len(some):
-            gs, ps = g[some], pos[some]
-            new = np.concatenate([[True], (np.diff(gs) != 0) | (np.diff(ps) != 1)])
-            cut = np.flatnonzero(new)
-            gs, ps, many = gs[cut], ps[cut], np.diff(np.concatenate([cut, [len(some)]]))
-            values, k = _runs_of(gs)
-            ends = np.cumsum(k)
-            yield _batch("g bigint, hit binary", [(v, _spans(ps[b - m : b], many[b - m : b])) for v, m, b in zip(values.tolist(), k.tolist(), ends.tolist(), strict=True)])
+        yield from _hits(g[hit], pos[hit])
         self.words, self.ids, self.g, self.pos = words[:, ~hit], ids[~hit], g[~hit], pos[~hit]
+        if self.files or len(self.ids) > HELD:
+            self.files = self.files or _files()
+            _deal(_records(names[~hit], self.words, self.ids, self.g, self.pos), self.files, 0)
+            self.words, self.ids, self.g, self.pos = self.words[:, :0], self.ids[:0], self.g[:0], self.pos[:0]
+
+    def close(self):
+        """Yields (g, hit) of what went to files."""
+        for f in self.files or []:
+            yield from _resolved(f, 1)
+
+
+_RECORD = np.dtype([("name", "<u8"), ("id", "<i8"), ("g", "<i8"), ("pos", "<i8"), ("words", "<u8", (len(_WIDTH_AT),))])
+
+
+def _files() -> list:
+    return [tempfile.TemporaryFile() for _ in range(1 << BITS)]
+
+
+def _records(names, words, ids, g, pos) -> np.ndarray:
+    out = np.empty(len(ids), _RECORD)
+    out["name"], out["id"], out["g"], out["pos"], out["words"] = names, ids, g, pos, words.T
+    return out
+
+
+def _deal(records: np.ndarray, files: list, level: int) -> None:
+    """Appends records to files by the bits of their names that belong to the level."""
+    k = ((records["name"] >> _U(BITS * level)) & _U((1 << BITS) - 1)).astype(np.int64)
+    order, cuts = _by_range(k)
+    for value, a, b in cuts:
+        files[value].write(records[order[a:b]].tobytes())
+
+
+def _chunks(f):
+    """The records of a file, some at a time."""
+    f.seek(0)
+    while raw := f.read(_RECORD.itemsize * CHUNK):
+        yield np.frombuffer(raw, _RECORD)
+
+
+def _resolved(f, level: int):
+    """(g, hit) of a file's records: first the smallest document of each string, then who else has it."""
+    with f:
+        words, least = np.empty((len(_WIDTH_AT), 0), _U), np.empty(0, np.int64)
+        for x in _chunks(f):
+            words, ids = np.concatenate([words, x["words"].T], 1), np.concatenate([least, x["id"]])
+            order, h, _ = _order_of(words)
+            least, _, n = _edges_of_ties(order, h, ids)
+            words = words[:, order[np.cumsum(n) - n]]
+            if len(least) > HELD and BITS * (level + 1) <= 64:
+                break
+        else:
+            for x in _chunks(f):
+                order, h, _ = _order_of(np.concatenate([words, x["words"].T], 1))
+                some, _, n = _edges_of_ties(order, h, np.concatenate([least, x["id"]]))
+                smallest = np.empty(len(order), np.int64)
+                smallest[order] = np.repeat(some, n)
+                hit = x["id"] > smallest[len(least) :]
+                yield from _hits(x["g"][hit], x["pos"][hit])
+            return
+        del words, least, ids, order, h, n
+        files = _files()
+        for x in _chunks(f):
+            _deal(x, files, level)
+    for f in files:
+        yield from _resolved(f, level + 1)
+
+
+def _hits(gs: np.ndarray, ps: np.ndarray):
+    """(g, hit): places as spans, of neighbours that stand in a row."""
+    if len(gs):
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(gs) != 0) | (np.diff(ps) != 1)]))
+        many = np.diff(np.concatenate([cut, [len(gs)]]))
+        gs, ps = gs[cut], ps[cut]
+        values, k = _runs_of(gs)
+        ends = np.cumsum(k)
+        yield _batch("g bigint, hit binary", [(v, _spans(ps[b - m : b], many[b - m : b])) for v, m, b in zip(values.tolist(), k.tolist(), ends.tolist(), strict=True)])
 
 
 def tied_suffixes(batches):
@@ -377,6 +471,8 @@ def tied_suffixes(batches):
             for a, k in zip((np.cumsum(n) - n).tolist(), n.tolist(), strict=True):
                 part = rows.slice(a, k)
                 if part.column("r")[0].as_py() != last:
+                    if bucket:
+                        yield from bucket.close()
                     last, bucket = part.column("r")[0].as_py(), _Bucket()
                 size = pc.binary_length(part.column("len")).to_numpy().astype(np.int64)
                 size = pc.binary_length(part.column("data")).to_numpy() - (WIDTH - 1) * (size // 4)
@@ -384,12 +480,14 @@ def tied_suffixes(batches):
                 _, m = _runs_of(chunk)
                 for b, c in zip((np.cumsum(m) - m).tolist(), m.tolist(), strict=True):
                     yield from bucket.add(part.slice(b, c))
+        if bucket:
+            yield from bucket.close()
 
 
 def _step(text: DataFrame, make, schema: str, resolve, ranges: int, work: Workspace) -> tuple[DataFrame, str]:
     """(g, hits), all hits by block, and the table that it reads."""
-    sent = text.mapInArrow(make(ranges), schema).repartition("r").sortWithinPartitions("r")
-    path = work.write(sent.mapInArrow(resolve, "g bigint, hit binary"))
+    sent = text.mapInArrow(lean(make(ranges)), schema).repartition("r").sortWithinPartitions("r")
+    path = work.write(sent.mapInArrow(lean(resolve), "g bigint, hit binary"))
     del sent  # its shuffle files go with it
     work.release()
     return work.read(path, schema="g bigint, hit binary").groupBy("g").agg(F.collect_list("hit").alias("hits")), path
@@ -475,14 +573,13 @@ def _repeats(docs: DataFrame, key: str, text: str, with_text: bool, work: Worksp
     )
     left = src.join(copies.select("id", "th").distinct(), ["id", "th"], "left_anti")
     size = narrow.agg(F.sum("n")).first()[0] or 0
-    ranges = max(32, -(-size // RANGE))
-    text_path = work.write(left.select("id", "th", "text").mapInArrow(blocks, BLOCK_SQL))
+    text_path = work.write(left.select("id", "th", "text").mapInArrow(lean(blocks), BLOCK_SQL), ROW_BY_ROW)
     del left
     work.release()
     whole_text = work.read(text_path, schema=BLOCK_SQL)
-    tied, _ = _step(whole_text, sampler, RANKS, tied_ranks, ranges, work)
-    found, _ = _step(whole_text.join(tied, "g"), sorter, PIECES, tied_suffixes, ranges, work)
-    done = whole_text.join(found, "g", "left").mapInArrow(finish(with_text), FINISHED)
+    tied, _ = _step(whole_text, sampler, RANKS, tied_ranks, max(32, -(-size // RANK_RANGE)), work)
+    found, _ = _step(whole_text.join(tied, "g"), sorter, PIECES, tied_suffixes, max(32, -(-size // RANGE)), work)
+    done = whole_text.join(found, "g", "left").mapInArrow(lean(finish(with_text)), FINISHED)
     return done.unionAll(of_copies)
 
 

@@ -4,16 +4,19 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from spanalign.llm import bpe, chat, embeddings, html, minhash, packing, quality, queries, secrets, sharding, suffix
+from spanalign.llm import bpe, chat, common, embeddings, html, minhash, packing, quality, queries, secrets, sharding, suffix
 from spanalign.llm.shingles import shingle_sets
 
 P = pytest.importorskip("public_tokenizers")
@@ -213,6 +216,66 @@ def test_suffix_in_parts(spark, monkeypatch):
         assert got == want
 
 
+def pieces_of_one_bucket(n: int, each: int):
+    """Batches of one bucket: texts of one key in common, all else distinct, but each tenth twice; the second times are to go."""
+    rng = np.random.default_rng(3)
+    for k in range(n):
+        text = rng.integers(97, 123, (each, suffix.WIDTH), np.uint8)
+        text[:, 15 : 15 + suffix.KEY] = 120
+        if k % 10 == 9:
+            text = before
+        before = text
+        row = (7, k, False, text.tobytes(), suffix._steps(np.arange(each) * suffix.WIDTH), np.ones(each, np.uint32).tobytes(), suffix._planes(np.array([k], np.int64)), np.array([each], np.uint32).tobytes())
+        yield suffix._batch(suffix.PIECES, [row])
+
+
+def test_suffix_long_bucket_is_bounded(monkeypatch):
+    """The distinct strings around one common key don't pile up in memory."""
+    monkeypatch.setattr(suffix, "CHUNK", 2000)
+    monkeypatch.setattr(suffix, "HELD", 4000, raising=False)
+    peaks = []
+    for n in (20, 20, 200):  # the first one also imports
+        tracemalloc.start()
+        gone = {}
+        for batch in suffix.tied_suffixes(pieces_of_one_bucket(n, 1000)):
+            for row in batch.to_pylist():
+                spans = np.frombuffer(row["hit"], np.uint32).reshape(-1, 2)
+                gone[row["g"]] = gone.get(row["g"], 0) + int(spans[:, 1].sum())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert gone == {k: 1000 for k in range(9, n, 10)}
+    assert peaks[2] < 2 * peaks[1]
+
+
+def test_suffix_files_of_a_long_bucket(spark, monkeypatch):
+    """Buckets that go to files, files that go to further files, and names that tell nothing."""
+    rng = random.Random(12)
+    passage = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (49, 50, 60, 80, 200)]
+    texts = {k: "".join(rng.choice([*passage, "".join(rng.choice("xyz") for _ in range(rng.randrange(90)))]) for _ in range(rng.randrange(5))) for k in range(60)}
+    texts[70] = texts[3] + "ab" * 300
+    texts[-1] = "ab" * 200
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    want = brute_repeats(list(texts.items()))
+    monkeypatch.setattr(suffix, "BLOCK", 1000)
+    monkeypatch.setattr(suffix, "PART", 10 * suffix.PERIOD)
+    monkeypatch.setattr(suffix, "CHUNK", 30)
+    monkeypatch.setattr(suffix, "HELD", 3)
+    for names in (suffix._names, lambda words: np.zeros(len(next(iter(words))), np.uint64)):
+        monkeypatch.setattr(suffix, "_names", names)
+        got = {r["id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix.repeats(docs).collect()}
+        assert got == want
+
+
+def test_suffix_blocks_are_read_one_by_one(spark):
+    """Each block is a row group of its own; else a reader holds all those of a file."""
+    work = common.Workspace(spark)
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(k, rng.integers(97, 123, 5 * suffix.BLOCK // 8, np.uint8).tobytes().decode()) for k in range(3)], "doc_id long, text string").coalesce(1)
+    suffix._repeats(docs, "doc_id", "text", False, work)
+    files = [pq.ParquetFile(f).metadata for f in Path(work.root.removeprefix("file://")).glob("*/*.parquet")]
+    assert [(m.num_rows, m.num_row_groups) for m in files if "ends" in m.schema.names and m.num_rows] == [(3, 3)]
+
+
 def test_suffix_equal_keys_in_several_blocks(spark, monkeypatch):
     """A passage that a smaller document has goes, also where another block's row of the same key has it."""
     monkeypatch.setattr(suffix, "BLOCK", 400)
