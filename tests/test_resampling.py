@@ -95,3 +95,48 @@ def test_many_replicates_shuffle_no_units(spark, sf_dir, name):
 
     plan = QUERIES[f"{name}_full"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(0, 9999" not in plan and "Range (0, 3000000" not in plan
+
+
+def test_shuffled_rows_are_uniform_orders():
+    """All orders come alike, by sorted words and by the generator's own permutations."""
+    from spanalign.operators import harness
+
+    for lengths in ([1, 2, 3, 4], [300, 2, 3, 4]):
+        rows = harness._shuffled(resample.generator("x"), np.array(lengths), 24_000)
+        _, n = np.unique(rows, axis=0, return_counts=True)
+        assert len(n) == 24 and ((n - 1_000) ** 2 / 1_000).sum() < 60  # chi-squared of 23 degrees of freedom
+    got = list(harness._Orders(5, 7, True).ends(3, np.array([5, 1, 2, 9])))
+    assert sum(len(x) for x in got) == 7 and (np.concatenate(got)[:, -1] == 8).all()
+
+
+def test_keys_are_shared_and_exact():
+    """Keys held for a longer and a shorter segmentation give the orders that keys made anew give."""
+    from spanalign.operators import harness
+
+    held, lengths = harness._Orders(5, 4, True), np.arange(1, 40)
+    for n in (20, 39, 7):
+        want = [x for x in harness._Orders(5, 4, True).ends("k", lengths[:n])]
+        assert all((a == b).all() for a, b in zip(held.ends("k", lengths[:n]), want, strict=True))
+        order = resample.keyed_orders([b"5\0k\0"], [[b"\0%d" % p for p in range(1, n)]], 4)[0]
+        assert (np.concatenate(want) == np.cumsum(lengths[: n - 1][order], 1)).all()
+
+
+@pytest.mark.parametrize("name", ["i20_two_run_margin", "i21_noise_robustness", "dj22_noised_pairs", "i22_overlap_layouts"])
+def test_texts_are_counted_once(spark, sf_dir, name):
+    """The query's own plan reads what was counted of the texts and makes nothing of it again."""
+    from spanalign.plans import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "hash" not in plan
+
+
+def test_openers(spark, sf_dir):
+    from spanalign.operators import harness
+    from spanalign.plans import bindings
+    from spanalign.plans.registry import SPARK, frame, run_sql
+
+    docs = frame(spark, sf_dir, "documents")
+    got = harness.openers(docs, bindings.TAU, bindings.SENTENCE)
+    want = run_sql(spark, sf_dir, f"""SELECT t.doc_id, count_if(c) AS n_capital, count_if(c AND p.doc_id IS NOT NULL) AS hit_capital, count_if(NOT c) AS n_other, count_if(NOT c AND p.doc_id IS NOT NULL) AS hit_other
+      FROM (SELECT doc_id, start_byte, {SPARK.matches('piece', '^[A-Z]')} AS c FROM {{sentences}} WHERE start_byte > 0) t LEFT JOIN {{patches}} p ON p.doc_id = t.doc_id AND p.start_byte = t.start_byte GROUP BY t.doc_id""")
+    assert got.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
