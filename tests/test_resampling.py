@@ -140,3 +140,10 @@ def test_openers(spark, sf_dir):
     want = run_sql(spark, sf_dir, f"""SELECT t.doc_id, count_if(c) AS n_capital, count_if(c AND p.doc_id IS NOT NULL) AS hit_capital, count_if(NOT c) AS n_other, count_if(NOT c AND p.doc_id IS NOT NULL) AS hit_other
       FROM (SELECT doc_id, start_byte, {SPARK.matches('piece', '^[A-Z]')} AS c FROM {{sentences}} WHERE start_byte > 0) t LEFT JOIN {{patches}} p ON p.doc_id = t.doc_id AND p.start_byte = t.start_byte GROUP BY t.doc_id""")
     assert got.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_length_histogram_joins_nothing(spark, sf_dir):
+    from spanalign.plans import QUERIES
+
+    plan = QUERIES["e20_length_histogram"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
